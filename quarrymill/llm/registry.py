@@ -1,10 +1,13 @@
 """Queries of this subpackage, and the SQL that checks them."""
 
-from quarrymill.llm import exact_dedup
+from quarrymill.llm import exact_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_mixing": mixing.op3_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
