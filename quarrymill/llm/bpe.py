@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import table
+from quarrymill.llm.common import map_arrow, table
 
 BYTE = 256
 #: Rows that are Python objects at one time; entries of a worker's memos before they start anew.
@@ -191,7 +191,7 @@ def _mapped(df: DataFrame, source: str, out: str, schema: str, vocabulary: str,
                 made = pa.array([method(x) for x in values], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def _default(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
