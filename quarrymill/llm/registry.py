@@ -1,12 +1,13 @@
 """Queries of this subpackage, and the SQL that checks them."""
 
-from quarrymill.llm import bpe, exact_dedup, mixing, quality_rules, simhash, url_filter
+from quarrymill.llm import bpe, exact_dedup, mixing, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
