@@ -29,7 +29,7 @@ FIT_ROWS = 40_000
 SYMBOLS = 32
 MIN_TOXIC = 4
 PREFIXES = range(3, 9)
-Z = 2.0
+Z = 1.25
 BEAM = 24
 MEMO = 150_000
 ROWS = 128
