@@ -1,11 +1,12 @@
 """Queries of this subpackage, and the SQL that checks them."""
 
-from quarrymill.llm import bpe, exact_dedup, language_model, mixing, quality_rules, simhash, toxicity, url_filter
+from quarrymill.llm import bpe, exact_dedup, language_model, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_quality": quality_classifier.op5_quality,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_lm_scores": language_model.op7_lm_scores,
     "op8_toxicity": toxicity.op8_toxicity,
