@@ -1,9 +1,10 @@
 """Queries of this subpackage, and the SQL that checks them."""
 
-from quarrymill.llm import bpe, exact_dedup, language_model, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from quarrymill.llm import bpe, exact_dedup, language_model, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op5_quality": quality_classifier.op5_quality,
