@@ -220,9 +220,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | Non
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """encode() and decode() of docs, with SHA-256 of both results in place of the decoded bytes."""
     done = decode(encode(docs))
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return done.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents")).drop("ids")

@@ -171,5 +171,17 @@ def mixed(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...]
     )
 
 
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix: each row of docs as often as mixed() copies it, with all its columns. Rows alike in id, source and size are numbered on both sides, so each gets its own copies."""
+    key = ["__id", "__source", "__size"]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))).alias("__k")
+    rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": F.size(words(F.col(text_col))).cast("long")}).select("*", number)
+    taken = mixed(docs, None, weights, share, cap, id_col, source_col, text_col).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
+    taken = taken.select("*", number).select(*[F.col(c).alias(f"{c}_") for c in (*key, "__k")], F.col("copies").alias("__copies"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*key, "__k")]
+    repeated = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    return rows.join(taken.where("__copies > 0"), same).select(*[F.col(f"`{c}`") for c in docs.columns], repeated.alias("__again")).drop("__again")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")

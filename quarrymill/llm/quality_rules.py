@@ -24,6 +24,8 @@ from quarrymill.llm.common import stored, table, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 WINDOW = 8
+#: Labelled ids that are broadcast at most: 16 MB.
+SMALL = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -156,7 +158,7 @@ def cutoffs(counts: DataFrame, good: DataFrame, stratum: str, policy: Policy = P
 
 
 def judged(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per row of docs: id, stratum, counts, base_failed, kept and rejected_by (names of rules).
+    """One row per row of docs: id, stratum, counts, base_failed, kept and rejected_by (names of rules, base among them).
 
     Nulls: a null text is empty and so fails the base; a null stratum is a stratum of its own; documents with a
     null id are judged but are no holdouts. Labels other than 1, repeated or without document change nothing.
@@ -165,16 +167,37 @@ def judged(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), id_col
     counts = stored(text_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("body")), "body", ("doc_id", "stratum")))
     good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("doc_id"))
     limits = cutoffs(counts, good, "stratum", policy)
+    return _with_verdict(counts, limits, "stratum", policy)
+
+
+def _with_verdict(counts: DataFrame, limits: DataFrame, stratum: str, policy: Policy) -> DataFrame:
+    """counts with base_failed, kept and rejected_by; limits has a row per stratum."""
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     hits = [F.when(1000 * F.col(r.part) > F.col(f"c_{r.name}") * F.col(r.whole), F.lit(r.name)) for r in policy.rules]
     return (
-        counts.join(limits, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
-        .withColumns({"base_failed": base, "rejected_by": F.array_compact(F.array(*hits))})
-        .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+        counts.join(limits, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
+        # One condition over both sides of the join: a filter on kept isn't copied into the expressions of counts.
+        .withColumns({"base_failed": base, "rejected_by": F.array_compact(F.array(F.when(base, F.lit("base")), *hits))})
+        .withColumn("kept", F.size("rejected_by") == 0)
         .drop("__stratum", *[f"c_{r.name}" for r in policy.rules])
     )
 
 
+def kept(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of docs that judged() keeps, with all their columns; texts are not moved.
+
+    Holdouts are found first: by a broadcast of the labelled ids up to SMALL of them, beyond that by a join on the
+    counts of all rows. Cutoffs are those of judged() on the same rows.
+    """
+    good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("doc_id"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("body"))
+    if good.count() <= SMALL:
+        named = named.join(F.broadcast(good.distinct()), "doc_id", "left_semi")
+    limits = stored(cutoffs(text_counts(named, "body", ("doc_id", "stratum")), good, "stratum", policy))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("body"))
+    return _with_verdict(text_counts(rows, "body", ("row", "stratum")), limits, "stratum", policy).where("kept").select("row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

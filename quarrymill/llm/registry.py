@@ -1,8 +1,19 @@
 """Queries of this subpackage, and the SQL that checks them."""
 
+from pyspark.sql import DataFrame, SparkSession
+
 from quarrymill.llm import bpe, exact_dedup, language_model, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,

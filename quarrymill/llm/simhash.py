@@ -168,6 +168,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = WIDTH, id_
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "links")
 
 
+def deduplicated(docs: DataFrame, threshold: int = 2, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id is not the smallest of its component; rows without id stay."""
+    gone = near_duplicates(docs, threshold, width, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
