@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _hash(word: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(word, SEED)
 
 
@@ -55,50 +54,65 @@ def _mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def pair_keys(hashes):
-    """Keys of the bigrams of a text: from its start (hash 1) over its words to the end."""
+def flattened(texts: list[str | None]):
+    """(all tokens of the texts, each text's end after its words; where each text starts)."""
+    import numpy as np
+
+    flat: list[bytes] = []
+    starts = []
+    for text in texts:
+        starts.append(len(flat))
+        flat.extend(tokens(text))
+        flat.append(END.encode())
+    return flat, np.array(starts, np.int64)
+
+
+def shifted(values, starts, first):
+    """What stands before each token: first at the start of a text."""
     import numpy as np
 
-    before = np.concatenate([np.ones(1, np.uint64), hashes[:-1]])
-    return _mixed(_mixed(before) + hashes)
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[starts] = first
+    return before
+
+
+def pair_keys(hashes, starts):
+    """Keys of the bigrams of texts: from a start (hash 1) over the words to the end."""
+    import numpy as np
+
+    return _mixed(_mixed(shifted(hashes, starts, np.uint64(1))) + hashes)
 
 
 class Words(dict):
-    """Small integers for words, with their hashes and what count_of says; starts anew when full."""
+    """Small integers for words, with arrays of their hashes and exact counts (-1 for words that count_of lacks); starts anew when full."""
 
-    def __init__(self, count_of=None):
+    def __init__(self, count_of: dict[bytes, int] | None = None):
         import numpy as np
 
         super().__init__()
-        self.count_of = count_of
-        self.hashes = np.zeros(1 << 12, np.uint64)
-        self.counts = np.zeros(1 << 12, np.int64)
-        self.read = np.full(1 << 12, np.nan)
+        self.count_of, self.fresh = count_of or {}, []
+        self.hashes, self.counts, self.read = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
 
     def __missing__(self, word: bytes) -> int:
-        import numpy as np
-
         at = self[word] = len(self)
-        if at >= len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.read = np.concatenate([self.read, np.full_like(self.read, np.nan)])
-        self.hashes[at], self.read[at] = _hash(word), np.nan
-        if self.count_of is not None:
-            self.counts[at] = self.count_of.get(word, -1)
+        self.fresh.append(word)
         return at
 
-    def of(self, words: list[bytes]):
-        """Positions of the words and of the end, which stay valid until the next call."""
+    def of(self, flat: list[bytes]):
+        """Positions of the words, which stay valid until the next call."""
         import numpy as np
 
         if len(self) > MEMO:
             self.clear()
-        return np.fromiter(map(self.__getitem__, [*words, END.encode()]), np.int64, len(words) + 1)
-
-    def hashes_of(self, words: list[bytes]):
-        at = self.of(words)
-        return self.hashes[at]
+        at = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        if self.fresh:
+            old, new = len(self) - len(self.fresh), self.fresh
+            self.hashes = np.concatenate([self.hashes[:old], np.fromiter(map(_hash, new), np.uint64, len(new))])
+            self.counts = np.concatenate([self.counts[:old], np.fromiter((self.count_of.get(w, -1) for w in new), np.int64, len(new))])
+            self.read = np.concatenate([self.read[:old], np.full(len(new), np.nan)])
+            self.fresh = []
+        return at
 
     def read_counts(self, at, lfbf: Filter):
         """What the filter has for words at these positions; each word is probed once."""
@@ -189,12 +203,13 @@ def bigram_blocks(texts: DataFrame, blocks: int) -> DataFrame:
 
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                for text in batch.column(0).slice(start, ROWS).to_pylist():
-                    parts.append(pair_keys(memo.hashes_of(tokens(text))))
-                    size += len(parts[-1])
-                    if size > BLOCK_TOKENS:
-                        yield from out()
-                        size = 0
+                flat, starts = flattened(batch.column(0).slice(start, ROWS).to_pylist())
+                at = memo.of(flat)
+                parts.append(pair_keys(memo.hashes[at], starts))
+                size += len(parts[-1])
+                if size > BLOCK_TOKENS:
+                    yield from out()
+                    size = 0
         if parts:
             yield from out()
 
@@ -370,23 +385,21 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                made = []
-                for text in part.column(1).to_pylist():
-                    words = tokens(text)
-                    at = memo.of(words)
-                    h, c = memo.hashes[at], memo.counts[at]
-                    is_hot = c >= 0
-                    base = float(np.log10((c[is_hot] + ADD) / total).sum())
-                    rare = Counter([words[i].decode() if i < len(words) else END for i in np.nonzero(~is_hot)[0]])
-                    one = memo.read_counts(at, lfbf)
-                    history = np.concatenate([[max(starts, 1.0)], one[:-1]])
-                    two = lfbf.counts(pair_keys(h), 2)
-                    p = SEEN * np.minimum(two, history) / np.maximum(history, 1.0) + (1 - SEEN * share) * (one + ADD) / total
-                    made.append((row, len(at), int((c > 0).sum()), base, float(np.log10(np.minimum(p, 1.0)).sum()), list(rare.items())))
-                    row += 1
-                cols = [pa.array([m[j] for m in made], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                rares = pa.array([[{"token": t, "k": k} for t, k in m[5]] for m in made], pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols, rares], ["doc_id", "held_out", "row", "n_tokens", "hot_known", "hot_base", "score", "rare"])
+                flat, at_start = flattened(part.column(1).to_pylist())
+                at = memo.of(flat)
+                h, c, one = memo.hashes[at], memo.counts[at], memo.read_counts(at, lfbf)
+                two, history = lfbf.counts(pair_keys(h, at_start), 2), shifted(one, at_start, max(starts, 1.0))
+                p = SEEN * np.minimum(two, history) / np.maximum(history, 1.0) + (1 - SEEN * share) * (one + ADD) / total
+                base = np.where(c >= 0, np.log10((np.maximum(c, 0) + ADD) / total), 0.0)
+                rare = [Counter() for _ in at_start]
+                missing = np.nonzero(c < 0)[0]
+                for i, doc in zip(missing.tolist(), (np.searchsorted(at_start, missing, side="right") - 1).tolist(), strict=True):
+                    rare[doc][flat[i]] += 1
+                sums = [np.add.reduceat(x, at_start) for x in (np.ones(len(flat), np.int64), (c > 0).astype(np.int64), base, np.log10(np.minimum(p, 1.0)))]
+                rows = np.arange(row, row + len(at_start))
+                row += len(at_start)
+                rares = pa.array([[{"token": t.decode(), "k": k} for t, k in r.items()] for r in rare], pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows), *map(pa.array, sums), rares], ["doc_id", "held_out", "row", "n_tokens", "hot_known", "hot_base", "score", "rare"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     partial = stored(map_arrow(rows, run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, hot_known long, hot_base double, score double, rare array<struct<token:string,k:bigint>>"))
