@@ -5,7 +5,7 @@ rule decides are the examples: allowed ones train the accepted model, blocked on
 fifth that is held out by a hash of the URL. A model predicts each character from the up to ORDER characters before
 it, with variable order: a context's estimate is smoothed by that of the next shorter one, and a context never
 seen passes its shorter one on. The score is the difference of log-likelihoods for a character. The cutoff is
-calibrated on held-out URLs: at most SPARE of the accepted ones score below it.
+calibrated on held-out URLs: it lies between the two kinds, and at most SPARE of the accepted ones score below it.
 
 Counts are hashed into SLOTS slots for each model, so what is collected and broadcast is bounded (16 MB) however
 many URLs there are.
@@ -148,6 +148,24 @@ def scored(urls: DataFrame, models: Models) -> DataFrame:
     return map_arrow(urls, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema.fields) + ", score double")
 
 
+def _cutoff(bins: list[tuple[str, int, int]]) -> float | None:
+    """From held-out (verdict, score * GRID, count): half-way from where all but SPARE of the rejected end to where all but SPARE of the accepted begin; where the two overlap, the latter."""
+
+    def passed(verdict: str, ascending: bool) -> int | None:
+        rows = sorted(((b, n) for v, b, n in bins if v == verdict), reverse=not ascending)
+        spare = SPARE * sum(n for _, n in rows)
+        for b, n in rows:
+            spare -= n
+            if spare < 0:
+                return b
+        return None
+
+    accepted, rejected = passed("allow", True), passed("block", False)
+    if accepted is None:
+        return None
+    return (min(accepted, rejected if rejected is not None else accepted) + accepted) / 2 / GRID
+
+
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict (allow or block), score.
 
@@ -159,14 +177,9 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "pag
     examples = df.where("decided IS NOT NULL")
     held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
     models = Models(trained(examples.where(~held)).toPandas())
-    bins = scored(examples.where(held & (F.col("decided") == "allow")).select("url"), models)
-    bins = bins.groupBy(F.floor(F.least(F.greatest(F.col("score"), F.lit(-30.0)), F.lit(30.0)) * GRID).alias("bin")).count().orderBy("bin").collect()  # at most 60 * GRID rows
-    spare, cutoff = SPARE * sum(r["count"] for r in bins), None
-    for r in bins:
-        cutoff = r["bin"] / GRID
-        spare -= r["count"]
-        if spare < 0:
-            break
+    bins = scored(examples.where(held).select("decided", "url"), models)
+    at = F.floor(F.least(F.greatest(F.col("score"), F.lit(-30.0)), F.lit(30.0)) * GRID).alias("bin")
+    cutoff = _cutoff([tuple(r) for r in bins.groupBy("decided", at).count().collect()])  # at most 2 * 60 * GRID rows
     own = F.when(F.lit(models.ready and cutoff is not None) & (F.col("score") < F.lit(cutoff or 0.0)), "block").otherwise("allow")
     return scored(df, models).select("page_id", "host", "path", "rule", F.coalesce("decided", own).alias("verdict"), "score")
 
