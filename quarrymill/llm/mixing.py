@@ -151,6 +151,8 @@ def mixed(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...]
     )
     plan = plan.join(best, "key").withColumn("start", F.col("start") + F.col("phase")).drop("phase", "n")
     dealt = rows.join(plan, ["key", "size"]).withColumn("h", F.xxhash64("doc_id")).withColumn("chunk", F.pmod("h", "chunks"))
+    # Else the join's partitioning by key and size would do for the windows, and keep a group's chunks together.
+    dealt = dealt.repartition("key", "size", "chunk")
     # Groups of one source and size are dealt to chunks of bounded size; a chunk starts where the ones before end.
     counts = dealt.where("chunks > 1").groupBy("key", "size", "chunk").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("key", "size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
