@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = WIDTH, id_
     classes = prints.join(named, "fp", "left").select(
         "fp", F.when(F.col("links").isNull(), F.col("first_id")).otherwise(F.col("name")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")
     )
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "links")
+    # Both sides are plain tables: Spark can split the rows of a fingerprint that many documents share.
+    return rows.join(stored(classes), "fp").select("doc_id", "fp", "component_id", "links")
 
 
 def deduplicated(docs: DataFrame, threshold: int = 2, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
