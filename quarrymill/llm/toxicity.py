@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import map_arrow, stored, table
 
-FIT_ROWS = 40_000
+FIT_ROWS = 24_000
 SYMBOLS = 32
 MIN_TOXIC = 4
 PREFIXES = range(3, 9)
 Z = 1.25
 BEAM = 24
-MEMO = 150_000
+MEMO = 250_000
 ROWS = 128
 
 #: Letters that a sign may stand for.
@@ -40,7 +40,20 @@ AS_LETTER, AS_ITSELF, AS_NOISE, AS_REPEAT = 0.7, 3.0, 1.2, 0.7
 #: Letters with a digit or a sign inside or a letter three times in a row.
 _ODD = re.compile(r"[^\W\d_][^\s]*(?:[\d_]|[^\w\s])[^\s]*[^\W_]|[\d@$][^\s]*[^\W\d_]|[^\W\d_][^\s]*[\d@$]|([^\W\d_])\1\1")
 _EDGE = re.compile(r"^[^\w@$]+|[^\w$@]+$|(?:[$@]{2,}|[^\w\s]*[^\w\s$@][^\w\s]*)$")
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t._*\-]{1,2}[^\W_]){2,}(?!\S)|(?<!\S)[\w@$!](?:[ \t][\w@$!|]){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[\w@$!|](?:[ \t]{1,2}[\w@$!|]){2,}(?![^\s.,;:!?\"')\]}])")
+
+
+_RUN = re.compile(r"(.)\1\1")
+_MARKS = ".,;:!?\"'()[]{}"
+#: For a quick look: white space, the rest, and no bytes after a character's first.
+_SHAPE, _REST = bytes(32 if i in b"\t\n\v\f\r " else 120 for i in range(256)), bytes(range(128, 192))
+
+
+def spaced_out(text: str) -> list[str]:
+    """Stretches of single characters with white space between them, put together. text is lower-case."""
+    if b" x x x " not in b" " + text.encode().translate(_SHAPE, _REST) + b" ":
+        return []
+    return [re.sub(r"\s+", "", m[0]) for m in _SPACED.finditer(text)]
 
 
 def symbol(c: str) -> int:
@@ -64,7 +77,7 @@ def _byte_symbols():
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """code, n: how often each four symbols follow each other in all texts."""
+    """code, n: how often each four symbols follow each other in all texts; all before a border is border."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -77,7 +90,9 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 s = of[np.frombuffer(b"".join(texts), np.uint8)]
                 s = s[s >= 0]
                 if len(s) > 3:
-                    total += np.bincount(((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:], minlength=SYMBOLS**4)
+                    near = s[2:-1]
+                    middle = s[1:-2] * (near > 0)  # nothing before a border counts
+                    total += np.bincount(((s[:-3] * (middle > 0) * SYMBOLS + middle) * SYMBOLS + near) * SYMBOLS + s[3:], minlength=SYMBOLS**4)
         codes = np.nonzero(total)[0]
         for start in range(0, len(codes), 100_000):
             part = codes[start : start + 100_000]
@@ -116,7 +131,7 @@ def restore(word: str, costs) -> str:
             for x, price in [*options, ("", AS_REPEAT)] if again else options:
                 if x:
                     s = symbol(x)
-                    total, key, made = cost + price + float(costs[past * SYMBOLS + s]), ((past * SYMBOLS + s) % SYMBOLS**3, x, 0), text + x
+                    total, key, made = cost + price + float(costs[past * SYMBOLS + s]), ((past * SYMBOLS + s) % SYMBOLS**3 if s else 0, x, 0), text + x
                 else:
                     total, key, made = cost + price, (past, last, 0), text
                 if key not in step or total < step[key][0]:
@@ -136,7 +151,7 @@ def words_of(text: str | None, costs) -> set[str]:
     """The distinct words of a whole text, restored."""
     text = (text or "").lower()
     out = {w for t in set(text.split()) for w in _restored(t, costs)}
-    return out | {w for m in _SPACED.finditer(text) for w in restore(re.sub(r"[\s._*\-]+", "", m[0]), costs).split()}
+    return out | {w for x in spaced_out(text) for w in restore(x, costs).split()}
 
 
 def features(word: str) -> list[str]:
@@ -149,15 +164,22 @@ class Evidence(dict):
     def __init__(self, weights: dict[str, float], costs):
         super().__init__()
         self.weights, self.costs, self.older = weights, costs, {}
+        self.heads = {f[:3] for f in weights}
 
     def of(self, word: str) -> float:
         weights = self.weights
+        if word[:3] not in self.heads and word + "$" not in weights:
+            return 0.0
         return max([0.0, *(weights[f] for f in features(word) if f in weights)])
 
     def __missing__(self, token: str) -> float:
         x = self.older.get(token)
         if x is None:
-            x = max([0.0, *map(self.of, _restored(token, self.costs))])
+            plain = token.strip(_MARKS)
+            if plain.isalpha() and not _RUN.search(plain):
+                x = self.of(plain)  # has one path
+            else:
+                x = max([0.0, *map(self.of, _restored(token, self.costs))])
         if len(token) < 48:
             if len(self) >= MEMO:
                 self.older = dict(self)
@@ -168,8 +190,8 @@ class Evidence(dict):
     def document(self, text: str | None) -> float:
         text = (text or "").lower()
         x = max(map(self.__getitem__, set(text.split())), default=0.0)
-        for m in _SPACED.finditer(text):
-            x = max([x, *map(self.of, restore(re.sub(r"[\s._*\-]+", "", m[0]), self.costs).split())])
+        for letters in spaced_out(text):
+            x = max([x, *map(self.of, restore(letters, self.costs).split())])
         return x
 
 
