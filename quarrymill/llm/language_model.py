@@ -27,11 +27,11 @@ END = "\n"  # no word holds white space
 SEED = 42
 PROBES = 8
 MAX_BITS = 1 << 28
-BLOCK_TOKENS = 4_000_000
-HOT = 150_000
+BLOCK_TOKENS = 1_000_000
+HOT = 80_000
 SEEN = 0.6
 ADD = 0.1
-MEMO = 300_000
+MEMO = 120_000
 ROWS = 128
 _MASK = (1 << 64) - 1
 
