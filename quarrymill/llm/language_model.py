@@ -4,8 +4,9 @@ An n-gram of count c has the level 1 + floor(log2(c / least)), where least is th
 order. The filter holds the pairs (n-gram, 1), ..., (n-gram, level); a count is read by probing levels until one is
 missing. Unigrams and bigrams are counted over all training texts. Keys are 64-bit hashes, dealt to blocks by hash;
 a block is merged by one task, whatever it holds, and owns a segment of the filter. The number of blocks follows
-the number of tokens. Bigrams enter from a count of 2 on; where the filter would outgrow MAX_BITS (32 MB), the
-least count of bigrams doubles until it fits, so what is broadcast is bounded and everything else is not.
+the number of tokens. All unigrams and the bigrams from a count of 2 on enter, so the filter grows with the n-grams;
+it is never in one place. Documents are cut into chunks of about BLOCK_TOKENS tokens; each chunk sends its distinct
+n-grams to the blocks that own them, and their levels come back to the chunk.
 
 p(w | h) = SEEN * c(hw) / c(h) + (1 - SEEN * share) * p(w), where share is the part of all bigrams that the
 filter holds, and p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)) with the filter's counts. The base score uses exact
@@ -14,6 +15,7 @@ counts: those of the HOT most frequent tokens are broadcast, others come by a jo
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,8 +27,9 @@ from quarrymill.llm.common import map_arrow, stored, table
 
 END = "\n"  # no word holds white space
 SEED = 42
+#: The least count held of each order.
+LEAST = {1: 1, 2: 2}
 PROBES = 8
-MAX_BITS = 1 << 28
 BLOCK_TOKENS = 1_000_000
 HOT = 80_000
 SEEN = 0.6
@@ -92,7 +95,7 @@ class Words(dict):
 
         super().__init__()
         self.count_of, self.fresh = count_of or {}, []
-        self.hashes, self.counts, self.read = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
@@ -110,18 +113,9 @@ class Words(dict):
             old, new = len(self) - len(self.fresh), self.fresh
             self.hashes = np.concatenate([self.hashes[:old], np.fromiter(map(_hash, new), np.uint64, len(new))])
             self.counts = np.concatenate([self.counts[:old], np.fromiter((self.count_of.get(w, -1) for w in new), np.int64, len(new))])
-            self.read = np.concatenate([self.read[:old], np.full(len(new), np.nan)])
             self.fresh = []
         return at
 
-    def read_counts(self, at, lfbf: Filter):
-        """What the filter has for words at these positions; each word is probed once."""
-        import numpy as np
-
-        if len(new := np.unique(at[np.isnan(self.read[at])])):
-            self.read[new] = lfbf.counts(_mixed(self.hashes[new]), 1)
-        return self.read[at]
-
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """token, n: over all texts, each with its end."""
@@ -150,16 +144,23 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("text"), run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _dealt(keys, counts, order: int, blocks: int):
-    """Rows (block, order, keys, counts) for distinct keys in ascending order; a key's high bits are its block."""
+def _placed(keys, blocks: int):
+    """(order of keys by block, blocks that have keys, where each starts in that order); a key's high bits are its block."""
     import numpy as np
-    import pyarrow as pa
 
     block = (keys >> np.uint64(40)).astype(np.int64) % blocks
     by = np.argsort(block, kind="stable")
-    keys, counts, block = keys[by], counts[by], block[by]
-    present, starts = np.unique(block, return_index=True)
-    ends = [*starts[1:], len(block)]
+    return by, *np.unique(block[by], return_index=True)
+
+
+def _dealt(keys, counts, order: int, blocks: int):
+    """Rows (block, order, keys, counts) for distinct keys in ascending order."""
+    import numpy as np
+    import pyarrow as pa
+
+    by, present, starts = _placed(keys, blocks)
+    keys, counts = keys[by], counts[by]
+    ends = [*starts[1:], len(keys)]
     for i in range(0, len(present), 512):
         cut = list(zip(starts[i : i + 512], ends[i : i + 512]))
         yield pa.RecordBatch.from_arrays(
@@ -235,7 +236,7 @@ def _levels(counts, least: int):
 
 
 def merged_blocks(dealt: DataFrame) -> DataFrame:
-    """One row per block and order: keys with the sums of their counts, unigrams from 1 and bigrams from 2 on, total (of kept counts) and levels by least count."""
+    """One row per block and order: keys with the sums of their counts, unigrams from 1 and bigrams from 2 on, total (of kept counts) and levels."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -245,9 +246,9 @@ def merged_blocks(dealt: DataFrame) -> DataFrame:
             keys, counts = _summed(parts)
             kept = counts >= order
             keys, counts = keys[kept], counts[kept]
-            levels = [int(_levels(counts, order << i).sum()) for i in range(24)]
+            levels = int(_levels(counts, order).sum())
             arrays = [pa.array([block], pa.int64()), pa.array([order], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([int(counts.sum())], pa.int64()), pa.array([levels], pa.list_(pa.int64()))], ["block", "order", "keys", "counts", "total", "levels"])
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([int(counts.sum())], pa.int64()), pa.array([levels], pa.int64())], ["block", "order", "keys", "counts", "total", "levels"])
 
         now, parts = None, []
         for batch in batches:
@@ -262,7 +263,7 @@ def merged_blocks(dealt: DataFrame) -> DataFrame:
             yield out(*now, parts)
 
     placed = dealt.repartition("block").sortWithinPartitions("block", "order")
-    return map_arrow(placed, run, f"{_DEALT}, total long, levels array<long>")
+    return map_arrow(placed, run, f"{_DEALT}, total long, levels long")
 
 
 class Filter:
@@ -301,11 +302,11 @@ class Filter:
                     flags[self._bit(start, step, i)] = 1
         return np.packbits(flags, bitorder="little").tobytes()
 
-    def counts(self, keys, order: int):
-        """The count that each key's level stands for, 0 for absent keys. Only what passed a probe gets the next one."""
+    def levels(self, keys):
+        """Each key's level, 0 for absent keys. Only what passed a probe gets the next one."""
         import numpy as np
 
-        out = np.zeros(len(keys))
+        out = np.zeros(len(keys), np.uint8)
         base = (keys >> np.uint64(40)).astype(np.int64) % self.blocks * self.bits
         at, level = np.arange(len(keys)), 0
         while len(at):
@@ -315,36 +316,103 @@ class Filter:
                 bit = base[at] + self._bit(start, step, i)
                 held = (self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                 at, start, step = at[held], start[held], step[held]
-            low = self.least[order] << (level - 1)
-            out[at] = low * 1.39 if low > 2 else low * 1.15 if low == 2 else low
+            out[at] = level
         return out
 
+    def counts(self, keys, order: int):
+        """The count that each key's level stands for."""
+        return _meant(self.levels(keys), self.least[order])
+
+
+def _meant(levels, least: int):
+    """The counts that levels stand for, 0 for no level."""
+    import numpy as np
+
+    low = np.where(levels > 0, least * 2.0 ** (levels.astype(np.float64) - 1), 0.0)
+    return np.where(low > 2, low * 1.39, np.where(low == 2, low * 1.15, low))
+
+
+def _packed(numbers) -> bytes:
+    """Rows of four bytes, the least first, as compressed planes."""
+    return zlib.compress(numbers.T.tobytes(), 1)
+
+
+def _unpacked(data: bytes):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-def _segments(blocks: DataFrame, f: Filter) -> dict[int, bytes]:
-    """The filter's segments, at most MAX_BITS in all."""
-    bits, least = f.bits, f.least
+
+def _answered(blocks: DataFrame, asked: DataFrame, bits: int) -> DataFrame:
+    """chunk, block, order, data: the levels of the keys (data of asked) of each row of asked, from the segment of its block."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        empty, now, parts = Filter(0, bits, least), None, []
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([empty.segment(parts)], pa.binary())], ["block", "segment"])
-
+        now, parts, segment = None, [], None
         for batch in batches:
-            for block, order, keys, counts in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+            chunks, owners, orders, out = [], [], [], []
+            for chunk, block, order, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    if parts:
-                        yield out()
-                    now, parts = block, []
-                parts.append((order, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
-        if parts:
-            yield out()
+                    now, parts, segment = block, [], None
+                if chunk is None:  # a block's own rows come first
+                    parts.append((order, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
+                    continue
+                if segment is None:
+                    segment = Filter(1, bits, LEAST, {0: Filter(0, bits, LEAST).segment(parts)})
+                    parts = []
+                chunks.append(chunk)
+                owners.append(block)
+                orders.append(order)
+                out.append(segment.levels(np.frombuffer(keys, np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(owners, pa.int64()), pa.array(orders, pa.int32()), pa.array(out, pa.binary())], ["chunk", "block", "order", "data"])
+
+    own = blocks.select(F.lit(None).cast("long").alias("chunk"), "block", "order", "keys", "counts")
+    rows = own.union(asked.select("chunk", "block", "order", "data", F.lit(None).cast("binary"))).repartition("block").sortWithinPartitions("block", "chunk", "order")
+    return map_arrow(rows, run, "chunk long, block long, order int, data binary")
+
+
+def _summed_up(rows: DataFrame, blocks: int, share: float, starts: int, total: float) -> DataFrame:
+    """row, score. rows: chunk, order (-1 for the chunk's words, 0 for documents, else an answer), block, row, data."""
 
-    rows = blocks.select("block", "order", "keys", "counts").repartition("block").sortWithinPartitions("block", "order")
-    return {r["block"]: bytes(r["segment"]) for r in map_arrow(rows, run, "block long, segment binary").collect()}
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def read(keys, answers: list[bytes], order: int):
+            by = _placed(keys, blocks)[0]
+            levels = np.empty(len(keys), np.uint8)
+            levels[by] = np.frombuffer(b"".join(answers), np.uint8)
+            return _meant(levels, LEAST[order])
+
+        def out(words: bytes, numbers: list[int], texts: list[bytes], answers: dict[int, list[bytes]]):
+            hashes, ats = np.frombuffer(words, np.uint64), [*map(_unpacked, texts)]
+            at_start = np.cumsum([0, *map(len, ats[:-1])])
+            at = np.concatenate(ats)
+            pairs, which = np.unique(pair_keys(hashes[at], at_start), return_inverse=True)
+            one, two = read(_mixed(hashes), answers[1], 1)[at], read(pairs, answers[2], 2)[which]
+            history = shifted(one, at_start, max(starts, 1.0))
+            p = SEEN * np.minimum(two, history) / np.maximum(history, 1.0) + (1 - SEEN * share) * (one + ADD) / total
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), at_start))], ["row", "score"])
+
+        now, held = None, None
+        for batch in batches:
+            for chunk, order, row, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != now:
+                    if held:
+                        yield out(*held)
+                    now, held = chunk, (data, [], [], {1: [], 2: []})
+                elif order:
+                    held[3][order].append(data)
+                else:
+                    held[1].append(row)
+                    held[2].append(data)
+        if held:
+            yield out(*held)
+
+    placed = rows.repartition("chunk").sortWithinPartitions("chunk", "order", "block").select("chunk", "order", "row", "data")
+    return map_arrow(placed, run, "row long, score double")
 
 
 def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,18 +429,13 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     blocks = max(64, -(-n // BLOCK_TOKENS))
     both = unigram_blocks(counts, blocks).union(bigram_blocks(texts, blocks))
     kept = stored(merged_blocks(both))
-    sums = kept.groupBy("order").agg(F.sum("total").alias("total"), *[F.sum(F.get("levels", F.lit(i))).alias(f"l{i}") for i in range(24)])
-    sums = {r["order"]: r for r in sums.collect()}
-    levels = lambda order, i: (sums[order][f"l{i}"] or 0) if order in sums else 0
-    raised = next((i for i in range(24) if (levels(1, 0) + levels(2, i)) * PROBES * 1.45 <= MAX_BITS), 23)
-    lifted = next((i for i in range(24) if (levels(1, i) + levels(2, raised)) * PROBES * 1.45 <= MAX_BITS), 23)
-    bits = max(64, int((levels(1, lifted) + levels(2, raised)) * PROBES * 1.45 / blocks) // 8 * 8 + 64)
-    shape = Filter(blocks, bits, {1: 1 << lifted, 2: 2 << raised}) if n else Filter(blocks, 64, {1: 1, 2: 2})
-    full = Filter(blocks, shape.bits, shape.least, _segments(kept, shape))
-    share = (sums[2]["total"] / n if n and 2 in sums else 0.0) if not raised else 0.5
+    sums = {r["order"]: r for r in kept.groupBy("order").agg(F.sum("total").alias("total"), F.sum("levels").alias("levels")).collect()}
+    kept.sparkSession.sparkContext._jvm.System.gc()  # lets go of the counts' shuffle files before more are written
+    bits = int(sum(r["levels"] for r in sums.values()) * PROBES * 1.45 / blocks) // 8 * 8 + 64
+    share = sums[2]["total"] / n if n and 2 in sums else 0.0
     hot = {r["token"].encode(): r["n"] for r in counts.orderBy(F.desc("n"), "token").limit(HOT).collect()}
     starts = texts.select(F.lit(1)).count() if n else 0
-    shared = docs.sparkSession.sparkContext.broadcast((full, hot, share, starts))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
     total = n + ADD * (v + 1)
 
     def run(batches: Iterator) -> Iterator:
@@ -380,29 +443,70 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
         import pyarrow as pa
         from pyspark import TaskContext
 
-        lfbf, hot, share, starts = shared.value
-        memo, row = Words(hot), TaskContext.get().partitionId() << 33
+        memo, chunk, row = Words(shared.value), TaskContext.get().partitionId() << 33, TaskContext.get().partitionId() << 33
+        parts, hashes, size = [], [], 0
+
+        def out() -> Iterator:
+            every = np.concatenate(hashes)
+            words, at = np.unique(every, return_inverse=True)
+            at, first = at.astype("<u4").view(np.uint8).reshape(-1, 4), 0
+            for columns, starts in parts:
+                ends = [*(first + starts[1:]).tolist(), first := first + int(columns[3].to_numpy().sum())]
+                k = len(starts)
+                idx = pa.array([_packed(at[e - m : e]) for e, m in zip(ends, columns[3].to_pylist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([chunk] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([0] * k, pa.int32()), idx], names)
+            bounds = np.concatenate([[0], np.cumsum([int(c[3].to_numpy().sum()) for c, _ in parts])[:-1]])
+            at_start = np.concatenate([b + s for b, (_, s) in zip(bounds, parts, strict=True)])
+            asked = [(None, -1, words.tobytes())]
+            for order, keys in ((1, _mixed(words)), (2, np.unique(pair_keys(every, at_start)))):
+                by, present, begin = _placed(keys, blocks)
+                keys = keys[by]
+                asked += [(int(b), order, keys[s:e].tobytes()) for b, s, e in zip(present, begin, [*begin[1:], len(keys)], strict=True)]
+            for start in range(0, len(asked), 512):
+                part = asked[start : start + 512]
+                k = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.nulls(k, c.type) for c in parts[0][0]), pa.array([chunk] * k, pa.int64()), *(pa.array([a[i] for a in part], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary())))], names
+                )
+
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 flat, at_start = flattened(part.column(1).to_pylist())
                 at = memo.of(flat)
-                h, c, one = memo.hashes[at], memo.counts[at], memo.read_counts(at, lfbf)
-                two, history = lfbf.counts(pair_keys(h, at_start), 2), shifted(one, at_start, max(starts, 1.0))
-                p = SEEN * np.minimum(two, history) / np.maximum(history, 1.0) + (1 - SEEN * share) * (one + ADD) / total
+                h, c = memo.hashes[at], memo.counts[at]
                 base = np.where(c >= 0, np.log10((np.maximum(c, 0) + ADD) / total), 0.0)
                 rare = [Counter() for _ in at_start]
                 missing = np.nonzero(c < 0)[0]
                 for i, doc in zip(missing.tolist(), (np.searchsorted(at_start, missing, side="right") - 1).tolist(), strict=True):
                     rare[doc][flat[i]] += 1
-                sums = [np.add.reduceat(x, at_start) for x in (np.ones(len(flat), np.int64), (c > 0).astype(np.int64), base, np.log10(np.minimum(p, 1.0)))]
+                sums = [np.add.reduceat(x, at_start) for x in (np.ones(len(flat), np.int64), (c > 0).astype(np.int64), base)]
                 rows = np.arange(row, row + len(at_start))
                 row += len(at_start)
                 rares = pa.array([[{"token": t.decode(), "k": k} for t, k in r.items()] for r in rare], pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows), *map(pa.array, sums), rares], ["doc_id", "held_out", "row", "n_tokens", "hot_known", "hot_base", "score", "rare"])
+                parts.append(([part.column(0), part.column(2), pa.array(rows), *map(pa.array, sums), rares], at_start))
+                hashes.append(h)
+                size += len(h)
+                if size >= BLOCK_TOKENS:
+                    yield from out()
+                    chunk, size = chunk + 1, 0
+                    parts.clear()
+                    hashes.clear()
+        if parts:
+            yield from out()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    partial = stored(map_arrow(rows, run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, hot_known long, hot_base double, score double, rare array<struct<token:string,k:bigint>>"))
+    names = ["doc_id", "held_out", "row", "n_tokens", "hot_known", "hot_base", "rare", "chunk", "block", "order", "data"]
+    made = stored(
+        map_arrow(
+            rows,
+            run,
+            f"doc_id {kind}, held_out boolean, row long, n_tokens long, hot_known long, hot_base double, rare array<struct<token:string,k:bigint>>, chunk long, block long, order int, data binary",
+        )
+    )
+    partial, asked = made.where("order = 0"), made.where("order > 0")
+    answers = _answered(kept, asked, bits).select("chunk", "order", "block", F.lit(None).cast("long").alias("row"), "data")
+    scores = _summed_up(answers.union(made.where("order < 1").select("chunk", "order", "block", "row", "data")), blocks, share, starts, total)
     c = F.coalesce(F.col("n"), F.lit(0))
     rest = (
         partial.select("row", F.explode("rare").alias("x"))
@@ -411,7 +515,7 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
         .groupBy("row")
         .agg(F.sum(F.when(c > 0, F.col("k"))).alias("known"), F.sum(F.col("k") * F.log10((c + ADD) / total)).alias("base"))
     )
-    return partial.drop("rare").join(rest, "row", "left").select(
+    return partial.drop("rare").join(scores, "row").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -329,6 +329,31 @@ def test_language_model(spark, docs, empty):
     assert language_model.scored(empty, held).count() == 0
 
 
+def brute_scores(bags, train, share_of=None):
+    """Scores by the formula, with counts as the levels of the filter stand for them."""
+    meant = lambda c, least: 0.0 if c < least else {1: 1.0, 2: 2.3}.get(low := least * 2 ** int(math.log2(c / least)), low * 1.39)
+    one, two = Counter(t for b in train for t in b), Counter(p for b in train for p in zip([b"", *b], b))
+    n, v = sum(one.values()), len(one)
+    share = sum(c for c in two.values() if c > 1) / n if share_of is None else share_of
+    def score(bag):
+        out = 0.0
+        for h, w in zip([b"", *bag], bag):
+            before, word = meant(one[h], 1) if h else len(train), meant(one[w], 1)
+            out += math.log10(min(1.0, 0.6 * min(meant(two[h, w], 2), before) / max(before, 1) + (1 - 0.6 * share) * (word + 0.1) / (n + 0.1 * (v + 1))))
+        return out
+    return [score(b) for b in bags], share
+
+
+def test_language_model_holds_every_ngram(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "MAX_BITS", 1 << 11, raising=False)  # no size of the filter may cost n-grams
+    rows = [(r[0], [*re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()), b"\n"]) for r in corpus()]
+    want, _ = brute_scores([b for _, b in rows], [b for _, b in rows])
+    got = ordered((r["doc_id"], r["n_tokens"], r["score"]) for r in language_model.scored(docs, F.lit(False)).collect())
+    want = ordered((i, len(b), s) for (i, b), s in zip(rows, want, strict=True))
+    assert [a[:2] for a in got] == [b[:2] for b in want]
+    assert np.median([abs(a[2] / b[2] - 1) for a, b in zip(got, want, strict=True)]) < 0.02  # a small filter has some false hits
+
+
 def test_bloom_counts():
     rng = np.random.default_rng(3)
     keys, counts = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)), None
