@@ -354,6 +354,15 @@ def test_language_model_holds_every_ngram(spark, docs, monkeypatch):
     assert np.median([abs(a[2] / b[2] - 1) for a, b in zip(got, want, strict=True)]) < 0.02  # a small filter has some false hits
 
 
+def test_language_model_measures_its_share(spark, docs, monkeypatch):
+    monkeypatch.setattr(language_model, "MAX_BITS", 1 << 11, raising=False)
+    bags = [[*re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()), b"\n"] for r in corpus()]
+    _, share = brute_scores([], bags)
+    unseen = spark.createDataFrame([(9_000, " ".join(f"unseen{i}" for i in range(200)))], "doc_id bigint, text string")
+    got = language_model.scored(docs.select("doc_id", "text").union(unseen), F.col("doc_id") == 9_000).where("doc_id = 9000").first()
+    assert abs(share - 0.5) > 0.1 and (got["score"] - got["base_score"]) / 201 == pytest.approx(math.log10(1 - 0.6 * share), abs=0.02)
+
+
 def test_bloom_counts():
     rng = np.random.default_rng(3)
     keys, counts = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)), None
