@@ -40,20 +40,24 @@ AS_LETTER, AS_ITSELF, AS_NOISE, AS_REPEAT = 0.7, 3.0, 1.2, 0.7
 #: Letters with a digit or a sign inside or a letter three times in a row.
 _ODD = re.compile(r"[^\W\d_][^\s]*(?:[\d_]|[^\w\s])[^\s]*[^\W_]|[\d@$][^\s]*[^\W\d_]|[^\W\d_][^\s]*[\d@$]|([^\W\d_])\1\1")
 _EDGE = re.compile(r"^[^\w@$]+|[^\w$@]+$|(?:[$@]{2,}|[^\w\s]*[^\w\s$@][^\w\s]*)$")
-_SPACED = re.compile(r"(?<!\S)[\w@$!|](?:[ \t]{1,2}[\w@$!|]){2,}(?![^\s.,;:!?\"')\]}])")
+#: Single characters set apart by blanks, which may have a mark before or between them.
+_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|])(?:(?:[._*\-]?[ \t]{1,2}|[ \t][._*\-][ \t]?)(?:[^\W_]|[@$!|])){2,}(?=[_*\-]?(?:\s|$)|[.,;:!?\"')\]}])")
 
 
 _RUN = re.compile(r"(.)\1\1")
 _MARKS = ".,;:!?\"'()[]{}"
-#: For a quick look: white space, the rest, and no bytes after a character's first.
-_SHAPE, _REST = bytes(32 if i in b"\t\n\v\f\r " else 120 for i in range(256)), bytes(range(128, 192))
+#: For a quick look: white space and marks, the rest, and no bytes after a character's first.
+_SHAPE, _REST = bytes(32 if i in b"\t\n\v\f\r\x1c\x1d\x1e\x1f ._*-,;:?\"')]}" else 120 for i in range(256)), bytes(range(128, 192))
 
 
 def spaced_out(text: str) -> list[str]:
-    """Stretches of single characters with white space between them, put together. text is lower-case."""
-    if b" x x x " not in b" " + text.encode().translate(_SHAPE, _REST) + b" ":
+    """Stretches of single characters with white space and marks between them, put together. text is lower-case."""
+    # Whatever _SPACED matches passes the quick look; ! is a character of a stretch or ends it.
+    plain = text if text.isascii() else " ".join(text.split())
+    shape = b" " + b" ".join(plain.encode("utf-8", "surrogatepass").translate(_SHAPE, _REST).split()) + b" "
+    if (b" x x x" if "!" in text else b" x x x ") not in shape:
         return []
-    return [re.sub(r"\s+", "", m[0]) for m in _SPACED.finditer(text)]
+    return [re.sub(r"[\s._*\-]+", "", m[0]) for m in _SPACED.finditer(text)]
 
 
 def symbol(c: str) -> int:

@@ -387,6 +387,17 @@ def test_restoration(spark):
     assert np.exp(-costs.reshape(-1, 32)).sum(axis=1) == pytest.approx(np.ones(32**3), abs=1e-3)
 
 
+def test_spaced_out():
+    for text in ("i d i o t", "an i  d  i  o  t", "i. d. i. o. t.", "i- d- i- o- t-", "i_ d_ i_ o_ t, so", "i * d * i * o * t", "you i\td i o t!", "i d i o t!you", "\u00a0i d i o t\u2003", "x i -d -i -o -t x"):
+        assert "idiot" in [x.lstrip("x") for x in toxicity.spaced_out(text)] or "xidiotx" in toxicity.spaced_out(text), text
+    assert [toxicity.spaced_out(t) for t in ("a s s,", "an a  s  s", "a. s. s!", "\u00a0a s s", "é s s)")] == [["ass"]] * 4 + [["éss"]]
+    assert toxicity.spaced_out("this is a test, x y") == toxicity.spaced_out("a b cde") == toxicity.spaced_out("ab c d e1") == []
+    rng = random.Random(6)
+    for _ in range(20_000):  # the quick look lets all pass that the expression finds
+        text = "".join(rng.choice("aé$!|1 \t\n.,_*-)\u00a0日   ") for _ in range(rng.randint(3, 14)))
+        assert len(toxicity.spaced_out(text)) == len(toxicity._SPACED.findall(text)), repr(text)
+
+
 def test_toxicity(spark, docs, labels, empty):
     rng = random.Random(7)
     bad = ["idiot", "moron", "1diot", "m0ron", "i d i o t", "mor.on"]
