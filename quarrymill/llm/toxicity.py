@@ -4,7 +4,8 @@ A word that may be disguised (leetspeak, marks between letters, repeated letters
 lattice: each character may stand for several letters, for itself, or be noise. A beam Viterbi search finds the
 path that is best under the channel's costs and a character language model of four symbols. The model's counts
 cover all documents; its table has 32**4 entries whatever the corpus. A word without suspicious characters has one
-path, itself, and is not searched.
+path, itself, and is not searched; one with a letter twice in a row, or with signs at its edges that may be letters,
+is taken both as it is and as searched.
 
 Restored words are scored by whole word and prefixes. Evidence of a prefix is a lower confidence bound of its log
 odds between toxic and other documents, learned from labelled documents; a document has the evidence of its
@@ -44,8 +45,10 @@ _EDGE = re.compile(r"^[^\w@$]+|[^\w$@]+$|(?:[$@]{2,}|[^\w\s]*[^\w\s$@][^\w\s]*)$
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|])(?:(?:[._*\-]?[ \t]{1,2}|[ \t][._*\-][ \t]?)(?:[^\W_]|[@$!|])){2,}(?=[_*\-]?(?:\s|$)|[.,;:!?\"')\]}])")
 
 
-_RUN = re.compile(r"(.)\1\1")
-_MARKS = ".,;:!?\"'()[]{}"
+_TWICE = re.compile(r"([^\W\d_])\1")
+#: Edges but signs that may stand for letters.
+_OUTER = re.compile(r"^[^\w@$!|+€£(*#]+|[^\w@$!|+€£(*#]+$")
+_MARKS = ".,;:?\"')[]{}"
 #: For a quick look: white space and marks, the rest, and no bytes after a character's first.
 _SHAPE, _REST = bytes(32 if i in b"\t\n\v\f\r\x1c\x1d\x1e\x1f ._*-,;:?\"')]}" else 120 for i in range(256)), bytes(range(128, 192))
 
@@ -145,16 +148,38 @@ def restore(word: str, costs) -> str:
 
 
 def _restored(token: str, costs) -> list[str]:
-    core = _EDGE.sub("", token)
-    if _ODD.search(core):
-        return [w for part in restore(core, costs).split() if (w := _EDGE.sub("", part))]
-    return [w for w in re.split(r"[\W_]+", core) if w]
+    """The words of a token; with signs at its edges that may be letters, or a letter twice in a row, those of each reading."""
+    core, wide = _EDGE.sub("", token), _OUTER.sub("", token)
+    read = lambda x: [w for part in restore(x, costs).split() if (w := _EDGE.sub("", part))]
+    odd = _ODD.search(core)
+    out = read(core) if odd else [w for w in re.split(r"[\W_]+", core) if w]
+    if not odd and _TWICE.search(core):
+        out += read(core)
+    if wide != core and (len(set(wide)) > 1):
+        out += read(wide)
+    return list(dict.fromkeys(out))
+
+
+class Readings(dict):
+    """The restored words of a token, memoised."""
+
+    def __init__(self, costs):
+        super().__init__()
+        self.costs = costs
+
+    def __missing__(self, token: str) -> list[str]:
+        x = _restored(token, self.costs)
+        if len(token) < 48:
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = x
+        return x
 
 
-def words_of(text: str | None, costs) -> set[str]:
+def words_of(text: str | None, costs, readings: Readings | None = None) -> set[str]:
     """The distinct words of a whole text, restored."""
-    text = (text or "").lower()
-    out = {w for t in set(text.split()) for w in _restored(t, costs)}
+    text, readings = (text or "").lower(), Readings(costs) if readings is None else readings
+    out = {w for t in set(text.split()) for w in readings[t]}
     return out | {w for x in spaced_out(text) for w in restore(x, costs).split()}
 
 
@@ -180,7 +205,7 @@ class Evidence(dict):
         x = self.older.get(token)
         if x is None:
             plain = token.strip(_MARKS)
-            if plain.isalpha() and not _RUN.search(plain):
+            if plain.isalpha() and not _TWICE.search(plain):
                 x = self.of(plain)  # has one path
             else:
                 x = max([0.0, *map(self.of, _restored(token, self.costs))])
@@ -207,11 +232,11 @@ def _counted(rows: DataFrame, costs, wanted: set[str] | None) -> dict[str, int]:
         import pyarrow as pa
 
         costs, wanted = shared.value
-        counts: Counter = Counter()
+        counts, readings = Counter(), Readings(costs)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 for text in batch.column(0).slice(start, ROWS).to_pylist():
-                    found = {f for w in words_of(text, costs) for f in features(w)}
+                    found = {f for w in words_of(text, costs, readings) for f in features(w)}
                     counts.update(found if wanted is None else found & wanted)
         rows = list(counts.items())
         for start in range(0, len(rows), 50_000):

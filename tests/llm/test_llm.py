@@ -398,6 +398,16 @@ def test_spaced_out():
         assert len(toxicity.spaced_out(text)) == len(toxicity._SPACED.findall(text)), repr(text)
 
 
+def test_readings_of_doubled_letters_and_edges(spark):
+    ship = [(i, t) for i, t in enumerate(["the idiot and the clown ran", "a stupid loser said so", "good people keep books"] * 30)]
+    costs = toxicity.language_model(toxicity.character_counts(spark.createDataFrame(ship, "doc_id int, text string")).toPandas())
+    for token, word in {"idioot": "idiot", "iidioott": "idiot", "stuupid": "stupid", "!diot": "idiot", "|diot,": "idiot", "*diot": "idiot", "(lown": "clown", "idio+": "idiot", '"!d1ot"': "idiot"}.items():
+        assert word in toxicity._restored(token, costs) and word in toxicity.words_of(f"you {token}", costs), token
+        assert toxicity.Evidence({word + "$": 2.0}, costs).document(f"you {token}") == 2.0, token
+    assert "books" in toxicity._restored("books!", costs) and toxicity.Evidence({"good$": 1.0}, costs).document("good!") == 1.0
+    assert toxicity._restored("!!!", costs) == toxicity._restored("***", costs) == []
+
+
 def test_toxicity(spark, docs, labels, empty):
     rng = random.Random(7)
     bad = ["idiot", "moron", "1diot", "m0ron", "i d i o t", "mor.on"]
