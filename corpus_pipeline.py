@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymill.llm import bpe, exact_dedup, mixing, quality_rules, simhash
+from quarrymill.llm import bpe, exact_dedup, mixing, near_dedup, quality_rules
 from quarrymill.llm.common import stored, table
 
 
@@ -23,8 +23,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by chains of fingerprints at most 2 bits apart, the one with the smallest doc_id stays."""
-    return simhash.deduplicated(docs)
+    """Of documents joined by chains of similarity of 0.8 or more (shingles of five words), the one with the smallest doc_id stays."""
+    return near_dedup.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -459,6 +459,26 @@ def test_exact_dedup(spark, docs, empty):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(w[0] for w in want if w[3])
 
 
+def test_near_stage(spark, docs, empty):
+    rng = random.Random(12)
+    rows = []
+    for n, changes in ((100, 1), (100, 2), (300, 3), (300, 5), (300, 10), (1000, 10), (1000, 40)):
+        for _ in range(8):
+            text = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(text)))
+            for at in range(changes):
+                text[n * at // changes + 7] = f"new{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(text).upper()))
+    rows += [(None, rows[0][1]), (500, None), (501, " "), (502, "one two"), (503, "One  two")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, t in rows for w in [(t or "").lower().split()]]
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[0:112:2], sets[1:112:2], strict=True)]
+    assert sum(0.8 <= x < 0.97 for x in like) > 30 and any(x < 0.8 for x in like)
+    want = {i for i, x in enumerate(like) if x < 0.8}
+    got = [r["doc_id"] for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()]
+    assert sorted(x for x in got if x is not None) == sorted([*range(0, 112, 2), *(2 * i + 1 for i in want), 500, 502]) and got.count(None) == 1
+    assert corpus_pipeline.near(spark, empty, "").count() == 0
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs.select(columns).write.parquet(f"{tmp_path}/documents.parquet")
