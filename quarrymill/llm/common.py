@@ -59,6 +59,25 @@ def _remove(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def mixed(x):
+    """A bijection of 64-bit integers that spreads their bits (the finaliser of splitmix64)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def discarded(df: DataFrame, part: str = "") -> None:
+    """Removes a stored table, or a part of it, that no later step reads; lets go of the files of finished shuffles."""
+    spark = df.sparkSession
+    jvm, sc = spark._jvm, spark.sparkContext
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if not part else {f.split(f"/{part}/")[0] + "/" + part for f in df.inputFiles() if f"/{part}/" in f}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    jvm.System.gc()
+
+
 def stored(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The rows of df as a table in the shared folder: cuts the lineage, outlives any executor."""
     spark = df.sparkSession

@@ -1,42 +1,54 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-An n-gram of count c has the level 1 + floor(log2(c / least)), where least is the smallest count kept for its
+An n-gram of count c has the level 1 + floor(log2(c / least)), where least is the smallest count held for its
 order. The filter holds the pairs (n-gram, 1), ..., (n-gram, level); a count is read by probing levels until one is
-missing. Unigrams and bigrams are counted over all training texts. Keys are 64-bit hashes, dealt to blocks by hash;
-a block is merged by one task, whatever it holds, and owns a segment of the filter. The number of blocks follows
-the number of tokens. All unigrams and the bigrams from a count of 2 on enter, so the filter grows with the n-grams;
-it is never in one place. Documents are cut into chunks of about BLOCK_TOKENS tokens; each chunk sends its distinct
-n-grams to the blocks that own them, and their levels come back to the chunk.
-
-p(w | h) = SEEN * c(hw) / c(h) + (1 - SEEN * share) * p(w), where share is the part of all bigrams that the
-filter holds, and p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1)) with the filter's counts. The base score uses exact
-counts: those of the HOT most frequent tokens are broadcast, others come by a join.
+missing. Unigrams are held from a count of 1 on, bigrams from 2 on, at every size of the corpus: a bigram that
+occurs once tells no more of other texts than one that never does.
+
+The filter grows with the n-grams, so it is not broadcast whole: it lies in segments, one for each block of n-grams
+by hash, and the number of blocks follows the bytes of the corpus. Documents are cut into chunks of about CHUNK
+tokens. Each chunk sends its distinct n-grams, with their counts in training texts, to the blocks; a block sums the
+counts, builds its segment, probes it for every n-gram asked and sends levels back to the chunks. The held mass of
+each history, the sum of what its bigrams' levels stand for, takes a second and smaller round of the same kind.
+
+p(w | h) = SEEN * c(hw) / H(h) + (1 - SEEN * S(h) / H(h)) * p(w), with counts c as levels stand for them, S(h) the
+held mass of h and H(h) the larger of c(h) and S(h); p(w) = (c(w) + ADD) / (M + ADD * (V + 1)), M the sum of c over
+the V words. For every history these sum to 1 over all words and one unknown word, but for false hits of the
+filter (one in 2**PROBES). The base score uses the exact counts, which a block has before it makes levels of them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quarrymill.llm.common import map_arrow, stored, table
+from quarrymill.llm.common import discarded, map_arrow, mixed, stored, table
 
 END = "\n"  # no word holds white space
+#: The hash of what stands before the first token of a text. Not a word: it counts neither in N nor in V. As the least
+#: hash of block 0 it has the first place in every chunk's list of words.
+START = 1
 SEED = 42
 #: The least count held of each order.
 LEAST = {1: 1, 2: 2}
-PROBES = 8
-BLOCK_TOKENS = 1_000_000
-HOT = 80_000
+PROBES = 20
+CHUNK = 1_000_000
+BLOCK_BYTES = 6_000_000
 SEEN = 0.6
 ADD = 0.1
 MEMO = 120_000
 ROWS = 128
 _MASK = (1 << 64) - 1
+_LOW = 40
+_OWNER = 128
+#: Orders of rows: a document's tokens, unigrams, bigrams; what histories hold.
+TEXT, WORD, PAIR, MASS = 0, 1, 2, 3
+_NAMES = ["chunk", "block", "order", "keys", "counts", "row", "doc_id", "held_out"]
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -44,30 +56,14 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
+class Hashes(dict):
+    """Hashes of words, memoised; starts anew when full."""
 
-
-def _mixed(x):
-    """A bijection of 64-bit integers that spreads their bits (the finaliser of splitmix64)."""
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def flattened(texts: list[str | None]):
-    """(all tokens of the texts, each text's end after its words; where each text starts)."""
-    import numpy as np
-
-    flat: list[bytes] = []
-    starts = []
-    for text in texts:
-        starts.append(len(flat))
-        flat.extend(tokens(text))
-        flat.append(END.encode())
-    return flat, np.array(starts, np.int64)
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        x = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return x
 
 
 def shifted(values, starts, first):
@@ -80,153 +76,45 @@ def shifted(values, starts, first):
     return before
 
 
-def pair_keys(hashes, starts):
-    """Keys of the bigrams of texts: from a start (hash 1) over the words to the end."""
+def pair_keys(hashes, starts, blocks: int):
+    """Keys of the bigrams of texts, from START over the words to the end: the block, then _LOW bits within it."""
     import numpy as np
 
-    return _mixed(_mixed(shifted(hashes, starts, np.uint64(1))) + hashes)
-
-
-class Words(dict):
-    """Small integers for words, with arrays of their hashes and exact counts (-1 for words that count_of lacks); starts anew when full."""
-
-    def __init__(self, count_of: dict[bytes, int] | None = None):
-        import numpy as np
-
-        super().__init__()
-        self.count_of, self.fresh = count_of or {}, []
-        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        self.fresh.append(word)
-        return at
-
-    def of(self, flat: list[bytes]):
-        """Positions of the words, which stay valid until the next call."""
-        import numpy as np
-
-        if len(self) > MEMO:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
-        if self.fresh:
-            old, new = len(self) - len(self.fresh), self.fresh
-            self.hashes = np.concatenate([self.hashes[:old], np.fromiter(map(_hash, new), np.uint64, len(new))])
-            self.counts = np.concatenate([self.counts[:old], np.fromiter((self.count_of.get(w, -1) for w in new), np.int64, len(new))])
-            self.fresh = []
-        return at
-
-
-def token_counts(texts: DataFrame) -> DataFrame:
-    """token, n: over all texts, each with its end."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        counts: Counter = Counter()
-
-        def out() -> Iterator:
-            items = list(counts.items())
-            counts.clear()
-            for start in range(0, len(items), 50_000):
-                part = items[start : start + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["token", "n"])
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                for text in batch.column(0).slice(start, ROWS).to_pylist():
-                    counts.update(tokens(text))
-                    counts[END.encode()] += 1
-                if len(counts) > MEMO:
-                    yield from out()
-        yield from out()
+    keys = mixed(mixed(shifted(hashes, starts, np.uint64(START))) + hashes)
+    return ((keys >> np.uint64(_LOW)) % np.uint64(blocks)) << np.uint64(_LOW) | keys & np.uint64((1 << _LOW) - 1)
 
-    return map_arrow(texts.select("text"), run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-
-def _placed(keys, blocks: int):
-    """(order of keys by block, blocks that have keys, where each starts in that order); a key's high bits are its block."""
+def _block_of(hashes, blocks: int):
     import numpy as np
 
-    block = (keys >> np.uint64(40)).astype(np.int64) % blocks
-    by = np.argsort(block, kind="stable")
-    return by, *np.unique(block[by], return_index=True)
+    return ((hashes >> np.uint64(_LOW)) % np.uint64(blocks)).astype(np.int64)
 
 
-def _dealt(keys, counts, order: int, blocks: int):
-    """Rows (block, order, keys, counts) for distinct keys in ascending order."""
+def _cut(block) -> Iterator[tuple[int, int, int]]:
+    """(block, start, end) of each run of an ascending array."""
     import numpy as np
-    import pyarrow as pa
 
-    by, present, starts = _placed(keys, blocks)
-    keys, counts = keys[by], counts[by]
-    ends = [*starts[1:], len(keys)]
-    for i in range(0, len(present), 512):
-        cut = list(zip(starts[i : i + 512], ends[i : i + 512]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(present[i : i + 512].astype(np.int64)),
-                pa.array([order] * len(cut), pa.int32()),
-                pa.array([keys[s:e].tobytes() for s, e in cut], pa.binary()),
-                pa.array([counts[s:e].astype(np.uint32).tobytes() if counts[s:e].max() > 1 else b"" for s, e in cut], pa.binary()),
-            ],
-            ["block", "order", "keys", "counts"],
-        )
+    starts = np.concatenate([[0], np.nonzero(block[1:] != block[:-1])[0] + 1]) if len(block) else np.zeros(0, np.int64)
+    return zip(block[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True)
 
 
-_DEALT = "block long, order int, keys binary, counts binary"
-
-
-def _summed(parts: list):
-    """Distinct keys with the sums of their counts."""
+def packed(numbers) -> bytes:
+    """Non-negative integers as compressed planes of bytes, the lowest first."""
     import numpy as np
 
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts])
-    by = np.argsort(keys, kind="stable")
-    keys, counts = keys[by], counts[by]
-    starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1]) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
-
-
-def bigram_blocks(texts: DataFrame, blocks: int) -> DataFrame:
-    """Bigrams of texts, summed within tasks in rounds of bounded size."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        memo, parts, size = Words(), [], 0
-
-        def out() -> Iterator:
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            parts.clear()
-            yield from _dealt(keys, counts, 2, blocks)
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                flat, starts = flattened(batch.column(0).slice(start, ROWS).to_pylist())
-                at = memo.of(flat)
-                parts.append(pair_keys(memo.hashes[at], starts))
-                size += len(parts[-1])
-                if size > BLOCK_TOKENS:
-                    yield from out()
-                    size = 0
-        if parts:
-            yield from out()
+    x = np.ascontiguousarray(numbers, "<u8")
+    planes = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes(), 1)
 
-    return map_arrow(texts.select("text"), run, _DEALT)
 
+def unpacked(data: bytes):
+    """The integers of packed, as unsigned 64-bit."""
+    import numpy as np
 
-def unigram_blocks(counts: DataFrame, blocks: int) -> DataFrame:
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        for batch in batches:
-            keys = _mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            n = np.minimum(batch.column(1).to_numpy(zero_copy_only=False), (1 << 32) - 1)
-            yield from _dealt(keys, n, 1, blocks)
-
-    return map_arrow(counts.select(F.xxhash64("token"), "n"), run, _DEALT)
+    flat = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((flat.shape[1], 8), np.uint8)
+    out[:, : data[0]] = flat.T
+    return out.view("<u8").ravel()
 
 
 def _levels(counts, least: int):
@@ -235,295 +123,300 @@ def _levels(counts, least: int):
     return np.where(counts >= least, 1 + np.floor(np.log2(np.maximum(counts, least) / least)).astype(np.int64), 0)
 
 
-def merged_blocks(dealt: DataFrame) -> DataFrame:
-    """One row per block and order: keys with the sums of their counts, unigrams from 1 and bigrams from 2 on, total (of kept counts) and levels."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        def out(block, order, parts):
-            keys, counts = _summed(parts)
-            kept = counts >= order
-            keys, counts = keys[kept], counts[kept]
-            levels = int(_levels(counts, order).sum())
-            arrays = [pa.array([block], pa.int64()), pa.array([order], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([int(counts.sum())], pa.int64()), pa.array([levels], pa.int64())], ["block", "order", "keys", "counts", "total", "levels"])
-
-        now, parts = None, []
-        for batch in batches:
-            for block, order, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, order) != now:
-                    if parts:
-                        yield out(*now, parts)
-                    now, parts = (block, order), []
-                k = np.frombuffer(keys, np.uint64)
-                parts.append((k, np.frombuffer(counts, np.uint32).astype(np.int64) if counts else np.ones(len(k), np.int64)))
-        if parts:
-            yield out(*now, parts)
+def meant(levels, least: int):
+    """The counts that levels stand for, 0 for no level: whole numbers, so that sums don't depend on their order."""
+    import numpy as np
 
-    placed = dealt.repartition("block").sortWithinPartitions("block", "order")
-    return map_arrow(placed, run, f"{_DEALT}, total long, levels long")
+    low = np.where(levels > 0, least << np.maximum(levels.astype(np.int64) - 1, 0), 0)
+    return np.where(low > 2, low * 7 // 5, low)
 
 
 class Filter:
-    """A log-frequency Bloom filter in segments of bits, one for each block."""
+    """A segment of a log-frequency Bloom filter, for keys and their counts."""
 
-    def __init__(self, blocks: int, bits: int, least: dict[int, int], segments: dict[int, bytes] | None = None):
+    def __init__(self, keys, counts, least: int):
         import numpy as np
 
-        self.blocks, self.bits, self.least = blocks, bits, least
-        self.data = np.zeros(blocks * bits // 8, np.uint8)
-        for block, segment in (segments or {}).items():
-            self.data[block * bits // 8 : (block + 1) * bits // 8] = np.frombuffer(segment, np.uint8)
+        levels = _levels(counts, least)
+        self.bits = max(1 << 16, int(levels.sum() * PROBES * 1.45))
+        flags = np.zeros(self.bits, np.uint8)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            start, step = self._start(keys[levels >= level], level)
+            for i in range(PROBES):
+                flags[self._bit(start, step, i)] = 1
+        self.data = np.packbits(flags, bitorder="little")
 
     def _start(self, keys, level: int):
-        """Where the probes of (key, level) in its segment start, and their step."""
+        """Where the probes of (key, level) start, and their step."""
         import numpy as np
 
-        first = _mixed(keys + np.uint64(level * 0x9E3779B97F4A7C15 & _MASK))
+        first = mixed(keys + np.uint64(level * 0x9E3779B97F4A7C15 & _MASK))
         return first & np.uint64(0xFFFFFFFF), (first >> np.uint64(32)) | np.uint64(1)
 
     def _bit(self, start, step, i: int):
         import numpy as np
 
-        return ((start + np.uint64(i) * step) % np.uint64(self.bits)).astype(np.int64)
-
-    def segment(self, parts: list) -> bytes:
-        """Bits of a block: parts are (order, keys, counts)."""
-        import numpy as np
-
-        flags = np.zeros(self.bits, np.uint8)
-        for order, keys, counts in parts:
-            levels = _levels(counts, self.least[order])
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                start, step = self._start(keys[levels >= level], level)
-                for i in range(PROBES):
-                    flags[self._bit(start, step, i)] = 1
-        return np.packbits(flags, bitorder="little").tobytes()
+        return ((start + np.uint64(i) * step + np.uint64(i * i * i)) % np.uint64(self.bits)).astype(np.int64)
 
     def levels(self, keys):
         """Each key's level, 0 for absent keys. Only what passed a probe gets the next one."""
         import numpy as np
 
         out = np.zeros(len(keys), np.uint8)
-        base = (keys >> np.uint64(40)).astype(np.int64) % self.blocks * self.bits
         at, level = np.arange(len(keys)), 0
         while len(at):
             level += 1
             start, step = self._start(keys[at], level)
             for i in range(PROBES):
-                bit = base[at] + self._bit(start, step, i)
+                bit = self._bit(start, step, i)
                 held = (self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                 at, start, step = at[held], start[held], step[held]
             out[at] = level
         return out
 
-    def counts(self, keys, order: int):
-        """The count that each key's level stands for."""
-        return _meant(self.levels(keys), self.least[order])
 
+def _record(rows: list[tuple], kind, names: list[str] = _NAMES):
+    """A batch of rows; kind is the Arrow type of doc_id."""
+    import pyarrow as pa
+
+    types = {"chunk": pa.int64(), "block": pa.int64(), "order": pa.int32(), "row": pa.int64(), "doc_id": kind, "held_out": pa.bool_(), "keys": pa.binary(), "counts": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[n]) for i, n in enumerate(names)], names)
 
-def _meant(levels, least: int):
-    """The counts that levels stand for, 0 for no level."""
-    import numpy as np
 
-    low = np.where(levels > 0, least * 2.0 ** (levels.astype(np.float64) - 1), 0.0)
-    return np.where(low > 2, low * 1.39, np.where(low == 2, low * 1.15, low))
+def _chunks(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows of each chunk: its documents' tokens as places in its list of words, its words and its bigrams by block.
+
+    rows: doc_id, held_out, text. Words and bigrams come with their counts in texts that are not held out.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        from pyspark import TaskContext
 
+        memo, first, chunk, row = Hashes(), TaskContext.get().partitionId() << 33, 0, 0
+        docs: list[tuple] = []
+        held: list = []
+        size = 0
+
+        def out(kind) -> Iterator:
+            sizes = np.array([len(h) for h in held])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            flat = np.concatenate(held)
+            train = np.array([not d[2] for d in docs])
+            counted = np.repeat(train, sizes)
+            words, at = np.unique(np.append(flat, np.uint64(START)), return_inverse=True)
+            by = np.lexsort((words, _block_of(words, blocks)))
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            words, at = words[by], place[at]
+            counts = np.bincount(at[:-1], counted, len(words)).astype(np.int64)
+            counts[at[-1]] = train.sum()
+            id_ = first + chunk
+            made = [(id_, None, TEXT, packed(at[s : s + n]), None, *d) for d, s, n in zip(docs, starts.tolist(), sizes.tolist(), strict=True)]
+            for start in range(0, len(made), 256):
+                yield _record(made[start : start + 256], kind)
+            made = [(id_, b, WORD, words[s:e].tobytes(), packed(counts[s:e]), None, None, None) for b, s, e in _cut(_block_of(words, blocks))]
+            pairs, at = np.unique(pair_keys(flat, starts, blocks), return_inverse=True)
+            counts = np.bincount(at, counted, len(pairs)).astype(np.int64)
+            low = pairs & np.uint64((1 << _LOW) - 1)
+            made += [(id_, b, PAIR, packed(np.diff(low[s:e], prepend=np.uint64(0))), packed(counts[s:e]), None, None, None) for b, s, e in _cut((pairs >> np.uint64(_LOW)).astype(np.int64))]
+            for start in range(0, len(made), 256):
+                yield _record(made[start : start + 256], kind)
 
-def _packed(numbers) -> bytes:
-    """Rows of four bytes, the least first, as compressed planes."""
-    return zlib.compress(numbers.T.tobytes(), 1)
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for start in range(0, batch.num_rows, ROWS):
+                for doc_id, out_of, text in zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns), strict=True):
+                    flat = [*tokens(text), END.encode()]
+                    held.append(np.fromiter(map(memo.__getitem__, flat), np.uint64, len(flat)))
+                    docs.append((first + row, doc_id, out_of))
+                    size, row = size + len(flat), row + 1
+                    if size >= CHUNK:
+                        yield from out(kind)
+                        chunk, size = chunk + 1, 0
+                        docs.clear()
+                        held.clear()
+        if docs:
+            yield from out(kind)
 
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_arrow(rows.select("doc_id", "held_out", "text"), run, f"chunk long, block long, order int, keys binary, counts binary, row long, doc_id {kind}, held_out boolean")
 
-def _unpacked(data: bytes):
-    import numpy as np
 
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _grouped(batches: Iterator, by: tuple[int, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal values at the positions by; batches come sorted."""
+    now, held = None, []
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            for values in zip(*(c.to_pylist() for c in batch.slice(start, ROWS).columns), strict=True):
+                key = tuple(values[i] for i in by)
+                if key != now:
+                    if held:
+                        yield now, held
+                    now, held = key, []
+                held.append(values)
+    if held:
+        yield now, held
+
 
+def _answered(asked: DataFrame) -> DataFrame:
+    """chunk, block, order, data, and exact counts for words; rows with chunk -1 hold sums: N, V, M of the block.
 
-def _answered(blocks: DataFrame, asked: DataFrame, bits: int) -> DataFrame:
-    """chunk, block, order, data: the levels of the keys (data of asked) of each row of asked, from the segment of its block."""
+    A block's n-grams are summed by one task: their number is bounded, as the number of blocks follows the corpus.
+    The first chunk that asks for a held bigram owns it (a bit of the answer), so that it is added up once.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        now, parts, segment = None, [], None
-        for batch in batches:
-            chunks, owners, orders, out = [], [], [], []
-            for chunk, block, order, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != now:
-                    now, parts, segment = block, [], None
-                if chunk is None:  # a block's own rows come first
-                    parts.append((order, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
-                    continue
-                if segment is None:
-                    segment = Filter(1, bits, LEAST, {0: Filter(0, bits, LEAST).segment(parts)})
-                    parts = []
-                chunks.append(chunk)
-                owners.append(block)
-                orders.append(order)
-                out.append(segment.levels(np.frombuffer(keys, np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(owners, pa.int64()), pa.array(orders, pa.int32()), pa.array(out, pa.binary())], ["chunk", "block", "order", "data"])
-
-    own = blocks.select(F.lit(None).cast("long").alias("chunk"), "block", "order", "keys", "counts")
-    rows = own.union(asked.select("chunk", "block", "order", "data", F.lit(None).cast("binary"))).repartition("block").sortWithinPartitions("block", "chunk", "order")
-    return map_arrow(rows, run, "chunk long, block long, order int, data binary")
-
-
-def _summed_up(rows: DataFrame, blocks: int, share: float, starts: int, total: float) -> DataFrame:
-    """row, score. rows: chunk, order (-1 for the chunk's words, 0 for documents, else an answer), block, row, data."""
+        for (block, order), rows in _grouped(batches, (0, 1)):
+            if order == WORD:
+                parts = [np.frombuffer(r[3], np.uint64) for r in rows]
+            else:
+                parts = [np.cumsum(unpacked(r[3]), dtype=np.uint64) for r in rows]
+            counts = np.concatenate([unpacked(r[4]) for r in rows]).astype(float)
+            keys, first, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+            counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+            levels = Filter(keys[counts >= LEAST[order]], counts[counts >= LEAST[order]], LEAST[order]).levels(keys)
+            answers = levels[at]
+            if order == PAIR:
+                answers[first[counts >= LEAST[order]]] |= _OWNER
+            ends = np.cumsum([len(p) for p in parts])
+            own = keys != START if order == WORD else np.ones(len(keys), bool)
+            sums = [int(counts[own].sum()), int((counts[own] > 0).sum()), int(meant(levels[own & (counts > 0)], LEAST[order]).sum())]
+            out = [(-1, block, order, None, None, *sums)]
+            for r, e, p in zip(rows, ends, parts, strict=True):
+                out.append((r[2], block, order, packed(answers[e - len(p) : e]), packed(counts[at[e - len(p) : e]]) if order == WORD else None, None, None, None))
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            for start in range(0, len(out), 512):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[start : start + 512]], t) for i, t in enumerate(types)], ["chunk", "block", "order", "keys", "counts", "n", "v", "m"])
+
+    placed = asked.select("block", "order", "chunk", "keys", "counts").repartition("block", "order").sortWithinPartitions("block", "order", "chunk")
+    return map_arrow(placed, run, "chunk long, block long, order int, keys binary, counts binary, n long, v long, m long")
+
+
+def _by_chunk(rows: DataFrame) -> DataFrame:
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "order", "block", "row")
+
+
+def _histories(rows: DataFrame, blocks: int) -> DataFrame:
+    """For each chunk: levels of the bigram at each token of a document (order TEXT), and by block the held mass of its words as histories that the chunk owns (order MASS). rows: documents, words, answers for bigrams."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def read(keys, answers: list[bytes], order: int):
-            by = _placed(keys, blocks)[0]
-            levels = np.empty(len(keys), np.uint8)
-            levels[by] = np.frombuffer(b"".join(answers), np.uint8)
-            return _meant(levels, LEAST[order])
-
-        def out(words: bytes, numbers: list[int], texts: list[bytes], answers: dict[int, list[bytes]]):
-            hashes, ats = np.frombuffer(words, np.uint64), [*map(_unpacked, texts)]
-            at_start = np.cumsum([0, *map(len, ats[:-1])])
-            at = np.concatenate(ats)
-            pairs, which = np.unique(pair_keys(hashes[at], at_start), return_inverse=True)
-            one, two = read(_mixed(hashes), answers[1], 1)[at], read(pairs, answers[2], 2)[which]
-            history = shifted(one, at_start, max(starts, 1.0))
-            p = SEEN * np.minimum(two, history) / np.maximum(history, 1.0) + (1 - SEEN * share) * (one + ADD) / total
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(np.add.reduceat(np.log10(np.minimum(p, 1.0)), at_start))], ["row", "score"])
-
-        now, held = None, None
-        for batch in batches:
-            for chunk, order, row, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if chunk != now:
-                    if held:
-                        yield out(*held)
-                    now, held = chunk, (data, [], [], {1: [], 2: []})
-                elif order:
-                    held[3][order].append(data)
-                else:
-                    held[1].append(row)
-                    held[2].append(data)
-        if held:
-            yield out(*held)
+        for (chunk,), held in _grouped(batches, (0,)):
+            docs = [(r[5], unpacked(r[3]).astype(np.int64)) for r in held if r[2] == TEXT]
+            words = np.concatenate([np.frombuffer(r[3], np.uint64) for r in held if r[2] == WORD])
+            answers = np.concatenate([unpacked(r[3]) for r in held if r[2] == PAIR]).astype(np.uint8)
+            sizes = np.array([len(x) for _, x in docs])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            at = np.concatenate([x for _, x in docs])
+            history = shifted(at, starts, 0)
+            _, first, which = np.unique(pair_keys(words[at], starts, blocks), return_index=True, return_inverse=True)
+            owned = answers >= _OWNER
+            mass = np.bincount(history[first[owned]], meant(answers[owned] & (_OWNER - 1), LEAST[PAIR]), len(words)).astype(np.int64)
+            levels = (answers & (_OWNER - 1))[which]
+            out = [(chunk, None, TEXT, None, packed(levels[s : s + n]), row) for (row, _), s, n in zip(docs, starts.tolist(), sizes.tolist(), strict=True)]
+            out += [(chunk, b, MASS, words[s:e].tobytes(), packed(mass[s:e]), None) for b, s, e in _cut(_block_of(words, blocks))]
+            for start in range(0, len(out), 256):
+                yield _record(out[start : start + 256], None, _NAMES[:6])
+
+    return map_arrow(_by_chunk(rows.select("chunk", "block", "order", "keys", "counts", "row")), run, "chunk long, block long, order int, keys binary, counts binary, row long")
+
+
+def _masses(asked: DataFrame) -> DataFrame:
+    """chunk, block, order, counts: the held mass of each word asked for, summed over the chunks."""
 
-    placed = rows.repartition("chunk").sortWithinPartitions("chunk", "order", "block").select("chunk", "order", "row", "data")
-    return map_arrow(placed, run, "row long, score double")
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        for (block,), rows in _grouped(batches, (0,)):
+            parts = [np.frombuffer(r[2], np.uint64) for r in rows]
+            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+            total = np.bincount(at, np.concatenate([unpacked(r[3]) for r in rows]).astype(float), len(keys)).astype(np.int64)[at]
+            ends = np.cumsum([len(p) for p in parts])
+            out = [(r[1], block, MASS, packed(total[e - len(p) : e])) for r, e, p in zip(rows, ends, parts, strict=True)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            for start in range(0, len(out), 512):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[start : start + 512]], t) for i, t in enumerate(types)], ["chunk", "block", "order", "counts"])
 
-def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    placed = asked.select("block", "chunk", "keys", "counts").repartition("block").sortWithinPartitions("block", "chunk")
+    return map_arrow(placed, run, "chunk long, block long, order int, counts binary")
 
-    held_out: a boolean column of docs; rows where it is not true train. Null and empty texts are an end alone.
-    Null ids and repeated rows are scored, and train, as rows of their own. Without training tokens probabilities
-    are those of the additive smoothing. An empty table gives no rows.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    texts = rows.where("NOT held_out")
-    counts = stored(token_counts(texts))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    blocks = max(64, -(-n // BLOCK_TOKENS))
-    both = unigram_blocks(counts, blocks).union(bigram_blocks(texts, blocks))
-    kept = stored(merged_blocks(both))
-    sums = {r["order"]: r for r in kept.groupBy("order").agg(F.sum("total").alias("total"), F.sum("levels").alias("levels")).collect()}
-    kept.sparkSession.sparkContext._jvm.System.gc()  # lets go of the counts' shuffle files before more are written
-    bits = int(sum(r["levels"] for r in sums.values()) * PROBES * 1.45 / blocks) // 8 * 8 + 64
-    share = sums[2]["total"] / n if n and 2 in sums else 0.0
-    hot = {r["token"].encode(): r["n"] for r in counts.orderBy(F.desc("n"), "token").limit(HOT).collect()}
-    starts = texts.select(F.lit(1)).count() if n else 0
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    total = n + ADD * (v + 1)
+
+def probabilities(word, history, pair, mass, m: int, v: int):
+    """p(w | h) for counts as levels stand for them: of the word, the history and the pair, and the history's held mass."""
+    import numpy as np
+
+    whole = np.maximum(np.maximum(history, mass), 1)
+    return SEEN * pair / whole + (1 - SEEN * mass / whole) * (word + ADD) / (m + ADD * (v + 1))
+
+
+def _scores(rows: DataFrame, n: int, v: int, m: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score. rows: documents twice (tokens in keys, levels in counts), answers for words, masses."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        memo, chunk, row = Words(shared.value), TaskContext.get().partitionId() << 33, TaskContext.get().partitionId() << 33
-        parts, hashes, size = [], [], 0
-
-        def out() -> Iterator:
-            every = np.concatenate(hashes)
-            words, at = np.unique(every, return_inverse=True)
-            at, first = at.astype("<u4").view(np.uint8).reshape(-1, 4), 0
-            for columns, starts in parts:
-                ends = [*(first + starts[1:]).tolist(), first := first + int(columns[3].to_numpy().sum())]
-                k = len(starts)
-                idx = pa.array([_packed(at[e - m : e]) for e, m in zip(ends, columns[3].to_pylist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([chunk] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([0] * k, pa.int32()), idx], names)
-            bounds = np.concatenate([[0], np.cumsum([int(c[3].to_numpy().sum()) for c, _ in parts])[:-1]])
-            at_start = np.concatenate([b + s for b, (_, s) in zip(bounds, parts, strict=True)])
-            asked = [(None, -1, words.tobytes())]
-            for order, keys in ((1, _mixed(words)), (2, np.unique(pair_keys(every, at_start)))):
-                by, present, begin = _placed(keys, blocks)
-                keys = keys[by]
-                asked += [(int(b), order, keys[s:e].tobytes()) for b, s, e in zip(present, begin, [*begin[1:], len(keys)], strict=True)]
-            for start in range(0, len(asked), 512):
-                part = asked[start : start + 512]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.nulls(k, c.type) for c in parts[0][0]), pa.array([chunk] * k, pa.int64()), *(pa.array([a[i] for a in part], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary())))], names
-                )
+        types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for _, held in _grouped(batches, (0,)):
+            texts: dict[int, list] = {}
+            exact, levels, mass = [], [], []
+            for _, _, order, keys, counts, row, doc_id, held_out in held:
+                if order == WORD:
+                    levels.append(unpacked(keys))
+                    exact.append(unpacked(counts))
+                elif order == MASS:
+                    mass.append(unpacked(counts))
+                elif keys is not None:
+                    texts.setdefault(row, [None] * 4)[:3] = [doc_id, held_out, keys]
+                else:
+                    texts.setdefault(row, [None] * 4)[3] = counts
+            exact, mass = (np.concatenate(x).astype(np.int64) for x in (exact, mass))
+            one = meant(np.concatenate(levels), LEAST[WORD])
+            base = np.log10((exact + ADD) / (n + ADD * (v + 1)))
+            out = []
+            for doc_id, held_out, keys, pairs in texts.values():
+                at = unpacked(keys).astype(np.int64)
+                history = shifted(at, [0], 0)
+                p = probabilities(one[at], one[history], meant(unpacked(pairs), LEAST[PAIR]), mass[history], m, v)
+                out.append((doc_id, held_out, len(at), int((exact[at] > 0).sum()), float(base[at].sum()), float(np.log10(p).sum())))
+            for start in range(0, len(out), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[start : start + 1000]], t) for i, t in enumerate(types)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_arrow(_by_chunk(rows.select(*_NAMES)), run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                flat, at_start = flattened(part.column(1).to_pylist())
-                at = memo.of(flat)
-                h, c = memo.hashes[at], memo.counts[at]
-                base = np.where(c >= 0, np.log10((np.maximum(c, 0) + ADD) / total), 0.0)
-                rare = [Counter() for _ in at_start]
-                missing = np.nonzero(c < 0)[0]
-                for i, doc in zip(missing.tolist(), (np.searchsorted(at_start, missing, side="right") - 1).tolist(), strict=True):
-                    rare[doc][flat[i]] += 1
-                sums = [np.add.reduceat(x, at_start) for x in (np.ones(len(flat), np.int64), (c > 0).astype(np.int64), base)]
-                rows = np.arange(row, row + len(at_start))
-                row += len(at_start)
-                rares = pa.array([[{"token": t.decode(), "k": k} for t, k in r.items()] for r in rare], pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())])))
-                parts.append(([part.column(0), part.column(2), pa.array(rows), *map(pa.array, sums), rares], at_start))
-                hashes.append(h)
-                size += len(h)
-                if size >= BLOCK_TOKENS:
-                    yield from out()
-                    chunk, size = chunk + 1, 0
-                    parts.clear()
-                    hashes.clear()
-        if parts:
-            yield from out()
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "row", "n_tokens", "hot_known", "hot_base", "rare", "chunk", "block", "order", "data"]
-    made = stored(
-        map_arrow(
-            rows,
-            run,
-            f"doc_id {kind}, held_out boolean, row long, n_tokens long, hot_known long, hot_base double, rare array<struct<token:string,k:bigint>>, chunk long, block long, order int, data binary",
-        )
-    )
-    partial, asked = made.where("order = 0"), made.where("order > 0")
-    answers = _answered(kept, asked, bits).select("chunk", "order", "block", F.lit(None).cast("long").alias("row"), "data")
-    scores = _summed_up(answers.union(made.where("order < 1").select("chunk", "order", "block", "row", "data")), blocks, share, starts, total)
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rest = (
-        partial.select("row", F.explode("rare").alias("x"))
-        .select("row", "x.token", "x.k")
-        .join(counts, "token", "left")
-        .groupBy("row")
-        .agg(F.sum(F.when(c > 0, F.col("k"))).alias("known"), F.sum(F.col("k") * F.log10((c + ADD) / total)).alias("base"))
-    )
-    return partial.drop("rare").join(scores, "row").join(rest, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    held_out: a boolean column of docs; rows where it is not true train. Null and empty texts are an end alone.
+    Null ids and repeated rows are scored, and train, as rows of their own. Without training tokens probabilities
+    are those of the additive smoothing. Other columns are ignored. An empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    blocks = max(64, -(-size // BLOCK_BYTES))
+    made = stored(_chunks(rows, blocks), ("order",))
+    texts, words, pairs = (made.where(F.col("order") == o).select(*_NAMES) for o in (TEXT, WORD, PAIR))
+    answers = stored(_answered(words.union(pairs)))
+    sums = {r["order"]: r for r in answers.where("chunk < 0").groupBy("order").agg(*(F.sum(c).alias(c) for c in "nvm")).collect()}
+    n, v, m = (sums[WORD][c] for c in "nvm") if WORD in sums else (0, 0, 0)
+    discarded(made, f"order={PAIR}")
+    answers = answers.where("chunk >= 0").select("chunk", "block", "order", "keys", "counts", F.lit(None).cast("long").alias("row"))
+    known = stored(_histories(texts.union(words).select(*_NAMES[:6]).union(answers.where(F.col("order") == PAIR)), blocks), ("order",))
+    masses = _masses(known.where(F.col("order") == MASS)).select("chunk", "block", "order", F.lit(None).cast("binary").alias("keys"), "counts", F.lit(None).cast("long").alias("row"))
+    levels = known.where(F.col("order") == TEXT).select(*_NAMES[:6])
+    rest = levels.union(answers.where(F.col("order") == WORD)).union(masses)
+    found = _scores(texts.unionByName(rest, allowMissingColumns=True), n, v, m)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

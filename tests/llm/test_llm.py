@@ -312,68 +312,78 @@ def test_url_models(spark):
     assert url_filter.judged(none, rules).first()["verdict"] == "allow" and url_filter.judged(none.limit(0), rules).count() == 0
 
 
-def test_language_model(spark, docs, empty):
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
-    old, language_model.HOT = language_model.HOT, 5
-    try:
-        got = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in language_model.scored(docs, held).collect()]
-    finally:
-        language_model.HOT = old
-    bags = [(r[0], [*re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()), b"\n"]) for r in corpus()]
-    train = Counter(t for i, b in bags if i is None or zlib.crc32(str(i).encode()) % 10 for t in b)
-    n, v = sum(train.values()), len(train)
-    want = [(i, i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(b), sum(train[t] > 0 for t in b), n, round(sum(math.log10((train[t] + 0.1) / (n + 0.1 * (v + 1))) for t in b), 6)) for i, b in bags]
-    assert len(got) == len(want)
-    for a, b in zip(ordered(got), ordered(want), strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-6)
-    assert language_model.scored(empty, held).count() == 0
-
-
-def brute_scores(bags, train, share_of=None):
-    """Scores by the formula, with counts as the levels of the filter stand for them."""
-    meant = lambda c, least: 0.0 if c < least else {1: 1.0, 2: 2.3}.get(low := least * 2 ** int(math.log2(c / least)), low * 1.39)
-    one, two = Counter(t for b in train for t in b), Counter(p for b in train for p in zip([b"", *b], b))
-    n, v = sum(one.values()), len(one)
-    share = sum(c for c in two.values() if c > 1) / n if share_of is None else share_of
-    def score(bag):
-        out = 0.0
-        for h, w in zip([b"", *bag], bag):
-            before, word = meant(one[h], 1) if h else len(train), meant(one[w], 1)
-            out += math.log10(min(1.0, 0.6 * min(meant(two[h, w], 2), before) / max(before, 1) + (1 - 0.6 * share) * (word + 0.1) / (n + 0.1 * (v + 1))))
-        return out
-    return [score(b) for b in bags], share
-
-
-def test_language_model_holds_every_ngram(spark, docs, monkeypatch):
-    monkeypatch.setattr(language_model, "MAX_BITS", 1 << 11, raising=False)  # no size of the filter may cost n-grams
-    rows = [(r[0], [*re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()), b"\n"]) for r in corpus()]
-    want, _ = brute_scores([b for _, b in rows], [b for _, b in rows])
-    got = ordered((r["doc_id"], r["n_tokens"], r["score"]) for r in language_model.scored(docs, F.lit(False)).collect())
-    want = ordered((i, len(b), s) for (i, b), s in zip(rows, want, strict=True))
-    assert [a[:2] for a in got] == [b[:2] for b in want]
-    assert np.median([abs(a[2] / b[2] - 1) for a, b in zip(got, want, strict=True)]) < 0.02  # a small filter has some false hits
-
-
-def test_language_model_measures_its_share(spark, docs, monkeypatch):
-    monkeypatch.setattr(language_model, "MAX_BITS", 1 << 11, raising=False)
-    bags = [[*re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()), b"\n"] for r in corpus()]
-    _, share = brute_scores([], bags)
-    unseen = spark.createDataFrame([(9_000, " ".join(f"unseen{i}" for i in range(200)))], "doc_id bigint, text string")
-    got = language_model.scored(docs.select("doc_id", "text").union(unseen), F.col("doc_id") == 9_000).where("doc_id = 9000").first()
-    assert abs(share - 0.5) > 0.1 and (got["score"] - got["base_score"]) / 201 == pytest.approx(math.log10(1 - 0.6 * share), abs=0.02)
-
-
-def test_bloom_counts():
+def bags_of(rows):
+    return [(r[0], [*re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()), b"\n"]) for r in rows]
+
+
+def is_held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+
+
+class BruteModel:
+    """The formula with dictionaries of exact counts in place of a filter."""
+
+    def __init__(self, bags):
+        self.exact = Counter(t for b in bags for t in b)
+        two = Counter(p for b in bags for p in zip([b"", *b], b))
+        self.two = {p: self.meant(c, 2) for p, c in two.items() if c > 1}
+        self.mass = Counter()
+        for (h, _), c in self.two.items():
+            self.mass[h] += c
+        self.one = {t: self.meant(c, 1) for t, c in self.exact.items()}
+        self.starts, self.m = self.meant(len(bags), 1) if bags else 0, sum(self.one.values())
+
+    @staticmethod
+    def meant(c, least):
+        low = least * 2 ** int(math.log2(c / least))
+        return low if low < 3 else low * 7 // 5
+
+    def p(self, w, h):
+        whole = max(self.one.get(h, 0) if h else self.starts, self.mass[h], 1)
+        return 0.6 * self.two.get((h, w), 0) / whole + (1 - 0.6 * self.mass[h] / whole) * (self.one.get(w, 0) + 0.1) / (self.m + 0.1 * (len(self.one) + 1))
+
+    def row(self, i, bag):
+        n, v = sum(self.exact.values()), len(self.exact)
+        base = sum(math.log10((self.exact[t] + 0.1) / (n + 0.1 * (v + 1))) for t in bag)
+        return i, is_held(i), len(bag), sum(self.exact[t] > 0 for t in bag), n, base, sum(math.log10(self.p(w, h)) for h, w in zip([b"", *bag], bag))
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 300])
+def test_language_model(spark, docs, empty, chunk, monkeypatch):
+    monkeypatch.setattr(language_model, "CHUNK", chunk)
+    bags = bags_of(corpus())
+    model = BruteModel([b for i, b in bags if not is_held(i)])
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got = ordered(tuple(r[c] for c in columns) for r in language_model.scored(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0).collect())
+    for a, b in zip(got, ordered(model.row(*x) for x in bags), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    assert language_model.scored(empty, F.lit(False)).count() == 0
+    assert {r["score"] for r in language_model.scored(docs, F.lit(True)).collect()} == {0.0}
+
+
+def test_language_model_is_a_distribution():
+    bags = [b for _, b in bags_of(corpus())]
+    model = BruteModel(bags)
+    for h in [b"", *list(model.one)[:200], b"unseen"]:
+        assert sum(model.p(w, h) for w in [*model.one, b"unknown"]) == pytest.approx(1.0)
+    word, history, pair, mass = (np.array(x) for x in ([5, 0], [8, 8], [2, 0], [4, 4]))
+    want = [0.6 * 2 / 8 + (1 - 0.3) * 5.1 / (100 + 0.1 * 11), (1 - 0.3) * 0.1 / (100 + 0.1 * 11)]
+    assert language_model.probabilities(word, history, pair, mass, 100, 10) == pytest.approx(want)
+
+
+def test_bloom_levels():
     rng = np.random.default_rng(3)
-    keys, counts = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)), None
+    keys = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
     counts = rng.zipf(1.5, len(keys)).clip(1, 10**6)
-    shape = language_model.Filter(4, 1 << 17, {1: 1, 2: 2})
-    block = (keys >> np.uint64(40)).astype(np.int64) % 4
-    full = language_model.Filter(4, 1 << 17, {1: 1, 2: 2}, {b: shape.segment([(1, keys[block == b], counts[block == b])]) for b in range(4)})
-    found = full.counts(keys, 1)
-    low = 2.0 ** np.floor(np.log2(counts))
-    assert (found >= low).all() and np.mean(found < 2 * low) > 0.99
-    assert np.mean(full.counts(rng.integers(0, 2**63, 5000).astype(np.uint64), 1) > 0) < 0.02
+    held = language_model.Filter(keys, counts, 1)
+    assert (held.levels(keys) >= 1 + np.floor(np.log2(counts))).all() and np.mean(held.levels(keys) == 1 + np.floor(np.log2(counts))) > 0.999
+    assert np.mean(held.levels(rng.integers(0, 2**63, 100_000).astype(np.uint64)) > 0) < 1e-4
+    assert not language_model.Filter(keys[:0], counts[:0], 2).levels(keys).any()
+
+
+def test_packed():
+    for x in ([], [0], [1, 2, 300], [2**63, 5], list(range(70_000))):
+        assert language_model.unpacked(language_model.packed(np.array(x, np.uint64))).tolist() == x
 
 
 def test_restoration(spark):
