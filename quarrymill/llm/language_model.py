@@ -37,7 +37,7 @@ SEED = 42
 #: The least count held of each order.
 LEAST = {1: 1, 2: 2}
 PROBES = 20
-CHUNK = 1_000_000
+CHUNK = 2_000_000
 BLOCK_BYTES = 6_000_000
 SEEN = 0.6
 ADD = 0.1
@@ -46,8 +46,8 @@ ROWS = 128
 _MASK = (1 << 64) - 1
 _LOW = 40
 _OWNER = 128
-#: Orders of rows: a document's tokens, unigrams, bigrams; what histories hold.
-TEXT, WORD, PAIR, MASS = 0, 1, 2, 3
+#: Orders of rows: a document, the tokens of a chunk, unigrams, bigrams; what histories hold, levels of a chunk's bigrams.
+DOCUMENT, TEXT, WORD, PAIR, COUNT, MASS, LEVEL = range(-1, 6)
 _NAMES = ["chunk", "block", "order", "keys", "counts", "row", "doc_id", "held_out"]
 
 
@@ -95,7 +95,7 @@ def _cut(block) -> Iterator[tuple[int, int, int]]:
     import numpy as np
 
     starts = np.concatenate([[0], np.nonzero(block[1:] != block[:-1])[0] + 1]) if len(block) else np.zeros(0, np.int64)
-    return zip(block[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True)
+    return zip(block[starts].tolist(), starts.tolist(), np.append(starts[1:], len(block)).tolist())
 
 
 def packed(numbers) -> bytes:
@@ -117,6 +117,23 @@ def unpacked(data: bytes):
     return out.view("<u8").ravel()
 
 
+def _ranks(often):
+    """Places by falling frequency, so that frequent words have small numbers."""
+    import numpy as np
+
+    ranks = np.empty(len(often), np.int64)
+    ranks[np.argsort(-often.astype(np.int64), kind="stable")] = np.arange(len(often))
+    return ranks
+
+
+def _read(text: bytes, counts: bytes, n_words: int):
+    """(place of each token's word in the chunk's list, number of tokens of each document) of a row of order TEXT."""
+    import numpy as np
+
+    both = unpacked(counts).astype(np.int64)
+    return np.argsort(-both[:n_words], kind="stable")[unpacked(text).astype(np.int64)], both[n_words:]
+
+
 def _levels(counts, least: int):
     import numpy as np
 
@@ -212,10 +229,11 @@ def _chunks(rows: DataFrame, blocks: int) -> DataFrame:
             counts = np.bincount(at[:-1], counted, len(words)).astype(np.int64)
             counts[at[-1]] = train.sum()
             id_ = first + chunk
-            made = [(id_, None, TEXT, packed(at[s : s + n]), None, *d) for d, s, n in zip(docs, starts.tolist(), sizes.tolist(), strict=True)]
-            for start in range(0, len(made), 256):
-                yield _record(made[start : start + 256], kind)
-            made = [(id_, b, WORD, words[s:e].tobytes(), packed(counts[s:e]), None, None, None) for b, s, e in _cut(_block_of(words, blocks))]
+            for start in range(0, len(docs), 5000):
+                yield _record([(id_, None, DOCUMENT, None, None, *d) for d in docs[start : start + 5000]], kind)
+            often = np.bincount(at[:-1], minlength=len(words))
+            made = [(id_, None, TEXT, packed(_ranks(often)[at[:-1]]), packed(np.concatenate([often, sizes])), None, None, None)]
+            made += [(id_, b, WORD, words[s:e].tobytes(), packed(counts[s:e]), None, None, None) for b, s, e in _cut(_block_of(words, blocks))]
             pairs, at = np.unique(pair_keys(flat, starts, blocks), return_inverse=True)
             counts = np.bincount(at, counted, len(pairs)).astype(np.int64)
             low = pairs & np.uint64((1 << _LOW) - 1)
@@ -301,25 +319,25 @@ def _by_chunk(rows: DataFrame) -> DataFrame:
 
 
 def _histories(rows: DataFrame, blocks: int) -> DataFrame:
-    """For each chunk: levels of the bigram at each token of a document (order TEXT), and by block the held mass of its words as histories that the chunk owns (order MASS). rows: documents, words, answers for bigrams."""
+    """For each chunk: the level of the bigram at each token (order LEVEL), and by block the held mass of its words as histories that the chunk owns (order MASS). rows: tokens, words, answers for both (those for words as COUNT)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for (chunk,), held in _grouped(batches, (0,)):
-            docs = [(r[5], unpacked(r[3]).astype(np.int64)) for r in held if r[2] == TEXT]
             words = np.concatenate([np.frombuffer(r[3], np.uint64) for r in held if r[2] == WORD])
+            at, sizes = next(_read(r[3], r[4], len(words)) for r in held if r[2] == TEXT)
+            exact = np.concatenate([unpacked(r[4]) for r in held if r[2] == COUNT])
             answers = np.concatenate([unpacked(r[3]) for r in held if r[2] == PAIR]).astype(np.uint8)
-            sizes = np.array([len(x) for _, x in docs])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            at = np.concatenate([x for _, x in docs])
             history = shifted(at, starts, 0)
             _, first, which = np.unique(pair_keys(words[at], starts, blocks), return_index=True, return_inverse=True)
             owned = answers >= _OWNER
             mass = np.bincount(history[first[owned]], meant(answers[owned] & (_OWNER - 1), LEAST[PAIR]), len(words)).astype(np.int64)
             levels = (answers & (_OWNER - 1))[which]
-            out = [(chunk, None, TEXT, None, packed(levels[s : s + n]), row) for (row, _), s, n in zip(docs, starts.tolist(), sizes.tolist(), strict=True)]
+            out = [(chunk, None, LEVEL, None, packed(levels), None)]
+            words, mass = words[exact >= LEAST[PAIR]], mass[exact >= LEAST[PAIR]]  # of others no bigram is held
             out += [(chunk, b, MASS, words[s:e].tobytes(), packed(mass[s:e]), None) for b, s, e in _cut(_block_of(words, blocks))]
             for start in range(0, len(out), 256):
                 yield _record(out[start : start + 256], None, _NAMES[:6])
@@ -357,7 +375,7 @@ def probabilities(word, history, pair, mass, m: int, v: int):
 
 
 def _scores(rows: DataFrame, n: int, v: int, m: int) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score. rows: documents twice (tokens in keys, levels in counts), answers for words, masses."""
+    """doc_id, held_out, n_tokens, n_known, base_score, score. rows: documents, tokens, levels, answers for words, masses."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -365,27 +383,25 @@ def _scores(rows: DataFrame, n: int, v: int, m: int) -> DataFrame:
 
         types = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for _, held in _grouped(batches, (0,)):
-            texts: dict[int, list] = {}
-            exact, levels, mass = [], [], []
-            for _, _, order, keys, counts, row, doc_id, held_out in held:
-                if order == WORD:
-                    levels.append(unpacked(keys))
-                    exact.append(unpacked(counts))
-                elif order == MASS:
-                    mass.append(unpacked(counts))
-                elif keys is not None:
-                    texts.setdefault(row, [None] * 4)[:3] = [doc_id, held_out, keys]
+            docs, parts = [], {WORD: [], MASS: [], LEVEL: []}
+            for _, _, order, keys, counts, _, doc_id, out_of in held:
+                if order == DOCUMENT:
+                    docs.append((doc_id, out_of))
+                elif order == TEXT:
+                    text = keys, counts
                 else:
-                    texts.setdefault(row, [None] * 4)[3] = counts
-            exact, mass = (np.concatenate(x).astype(np.int64) for x in (exact, mass))
-            one = meant(np.concatenate(levels), LEAST[WORD])
+                    parts[order].append((keys, counts))
+            exact, mass, pairs = (np.concatenate([unpacked(c) for _, c in parts[order]]).astype(np.int64) for order in (WORD, MASS, LEVEL))
+            at, sizes = _read(*text, len(exact))
+            held_mass = np.zeros(len(exact), np.int64)
+            held_mass[exact >= LEAST[PAIR]] = mass
+            one = meant(np.concatenate([unpacked(k) for k, _ in parts[WORD]]), LEAST[WORD])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            history = shifted(at, starts, 0)
+            p = probabilities(one[at], one[history], meant(pairs, LEAST[PAIR]), held_mass[history], m, v)
             base = np.log10((exact + ADD) / (n + ADD * (v + 1)))
-            out = []
-            for doc_id, held_out, keys, pairs in texts.values():
-                at = unpacked(keys).astype(np.int64)
-                history = shifted(at, [0], 0)
-                p = probabilities(one[at], one[history], meant(unpacked(pairs), LEAST[PAIR]), mass[history], m, v)
-                out.append((doc_id, held_out, len(at), int((exact[at] > 0).sum()), float(base[at].sum()), float(np.log10(p).sum())))
+            sums = [np.add.reduceat(x, starts).tolist() for x in ((exact > 0)[at].astype(np.int64), base[at], np.log10(p))]
+            out = [(*d, *rest) for d, *rest in zip(docs, sizes.tolist(), *sums, strict=True)]
             for start in range(0, len(out), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[start : start + 1000]], t) for i, t in enumerate(types)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -405,17 +421,18 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     blocks = max(64, -(-size // BLOCK_BYTES))
     made = stored(_chunks(rows, blocks), ("order",))
-    texts, words, pairs = (made.where(F.col("order") == o).select(*_NAMES) for o in (TEXT, WORD, PAIR))
+    documents, texts, words, pairs = (made.where(F.col("order") == o).select(*_NAMES) for o in (DOCUMENT, TEXT, WORD, PAIR))
     answers = stored(_answered(words.union(pairs)))
     sums = {r["order"]: r for r in answers.where("chunk < 0").groupBy("order").agg(*(F.sum(c).alias(c) for c in "nvm")).collect()}
     n, v, m = (sums[WORD][c] for c in "nvm") if WORD in sums else (0, 0, 0)
     discarded(made, f"order={PAIR}")
     answers = answers.where("chunk >= 0").select("chunk", "block", "order", "keys", "counts", F.lit(None).cast("long").alias("row"))
-    known = stored(_histories(texts.union(words).select(*_NAMES[:6]).union(answers.where(F.col("order") == PAIR)), blocks), ("order",))
+    counts = answers.withColumn("order", F.when(F.col("order") == WORD, COUNT).otherwise(F.col("order")))
+    known = stored(_histories(texts.union(words).select(*_NAMES[:6]).union(counts), blocks), ("order",))
     masses = _masses(known.where(F.col("order") == MASS)).select("chunk", "block", "order", F.lit(None).cast("binary").alias("keys"), "counts", F.lit(None).cast("long").alias("row"))
-    levels = known.where(F.col("order") == TEXT).select(*_NAMES[:6])
+    levels = known.where(F.col("order") == LEVEL).select(*_NAMES[:6])
     rest = levels.union(answers.where(F.col("order") == WORD)).union(masses)
-    found = _scores(texts.unionByName(rest, allowMissingColumns=True), n, v, m)
+    found = _scores(documents.union(texts).unionByName(rest, allowMissingColumns=True), n, v, m)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
