@@ -37,7 +37,7 @@ SEED = 42
 #: The least count held of each order.
 LEAST = {1: 1, 2: 2}
 PROBES = 20
-CHUNK = 2_000_000
+CHUNK = 1_200_000
 BLOCK_BYTES = 6_000_000
 SEEN = 0.6
 ADD = 0.1
@@ -391,7 +391,7 @@ def _scores(rows: DataFrame, n: int, v: int, m: int) -> DataFrame:
                     text = keys, counts
                 else:
                     parts[order].append((keys, counts))
-            exact, mass, pairs = (np.concatenate([unpacked(c) for _, c in parts[order]]).astype(np.int64) for order in (WORD, MASS, LEVEL))
+            exact, mass, pairs = (np.concatenate([np.zeros(0, np.uint64), *(unpacked(c) for _, c in parts[order])]).astype(np.int64) for order in (WORD, MASS, LEVEL))
             at, sizes = _read(*text, len(exact))
             held_mass = np.zeros(len(exact), np.int64)
             held_mass[exact >= LEAST[PAIR]] = mass
