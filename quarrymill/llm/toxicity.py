@@ -1,11 +1,12 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A word that may be disguised (leetspeak, marks between letters, repeated letters, letters spaced out) is a
-lattice: each character may stand for several letters, for itself, or be noise. A beam Viterbi search finds the
-path that is best under the channel's costs and a character language model of four symbols. The model's counts
-cover all documents; its table has 32**4 entries whatever the corpus. A word without suspicious characters has one
-path, itself, and is not searched; one with a letter twice in a row, or with signs at its edges that may be letters,
-is taken both as it is and as searched.
+lattice: each character may stand for several letters, for itself, or be noise. The Viterbi search over all states
+(the last three symbols put out) finds the path that is best under the channel's costs and a character language
+model of four symbols. The model's counts cover all documents; its table has 32**4 entries whatever the corpus. A
+word without suspicious characters has one path, itself, and is not searched; one with a letter twice in a row, or
+with signs at its edges that may be letters, is taken both as it is and as searched. When words are scored, a
+lattice none of whose paths starts like a word with evidence is not searched either, as no path could score.
 
 Restored words are scored by whole word and prefixes. Evidence of a prefix is a lower confidence bound of its log
 odds between toxic and other documents, learned from labelled documents; a document has the evidence of its
@@ -26,12 +27,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import map_arrow, stored, table
 
-FIT_ROWS = 24_000
+FIT_ROWS = 40_000
 SYMBOLS = 32
 MIN_TOXIC = 4
 PREFIXES = range(3, 9)
 Z = 1.25
-BEAM = 24
 MEMO = 250_000
 ROWS = 128
 
@@ -122,35 +122,80 @@ def language_model(counts):
     return (-np.log(p)).astype(np.float32).ravel()
 
 
+def _options(c: str, again: bool) -> list[tuple[str, float]]:
+    """What a character of a disguised word may stand for, with costs; "" is nothing. again: it repeats the one before."""
+    kind = symbol(c)
+    out = [(x, AS_LETTER) for x in LEET.get(c, "")] + [("", AS_NOISE)] if kind in (0, 28, 29) else []
+    out.append((c, 0.0 if 0 < kind < 28 else AS_ITSELF))
+    return [*out, ("", AS_REPEAT)] if again and 0 < kind < 28 else out
+
+
 def restore(word: str, costs) -> str:
-    """The most likely word behind a lower-case disguised one; spaces in it may be kept or dropped."""
-    beam: dict[tuple[int, str, int], tuple[float, str]] = {(0, "", 0): (0.0, "")}
-    # The state is the last three symbols, the last letter put out and how often in a row the input repeats it.
+    """The most likely word behind a lower-case disguised one. Of equally likely ones the first in the order of options."""
+    # For each state, the last three symbols, the cheapest way there: (cost, last character put out, the way before).
+    ways: dict[int, tuple] = {0: (0.0, "", None)}
     for at, c in enumerate(word):
-        kind = symbol(c)
-        options: list[tuple[str, float]] = []
-        if kind in (0, 28, 29):
-            options += [(x, AS_LETTER) for x in LEET.get(c, "")] + [("", AS_NOISE)]
-        options.append((c, 0.0 if 0 < kind < 28 else AS_ITSELF))
-        again = at and word[at - 1] == c and 0 < kind < 28
-        step: dict[tuple[int, str, int], tuple[float, str]] = {}
-        for (past, last, run), (cost, text) in beam.items():
-            for x, price in [*options, ("", AS_REPEAT)] if again else options:
+        options = [(x, price, symbol(x) if x else 0) for x, price in _options(c, at > 0 and word[at - 1] == c)]
+        step: dict[int, tuple] = {}
+        for past, way in ways.items():
+            cost = way[0]
+            for x, price, s in options:
                 if x:
-                    s = symbol(x)
-                    total, key, made = cost + price + float(costs[past * SYMBOLS + s]), ((past * SYMBOLS + s) % SYMBOLS**3 if s else 0, x, 0), text + x
+                    code = past * SYMBOLS + s
+                    total, state, made = cost + price + float(costs[code]), code % SYMBOLS**3 if s else 0, (x, way)
                 else:
-                    total, key, made = cost + price, (past, last, 0), text
-                if key not in step or total < step[key][0]:
-                    step[key] = (total, made)
-        beam = dict(sorted(step.items(), key=lambda kv: (kv[1][0], kv[1][1]))[:BEAM])
-    return min(beam.values(), key=lambda v: (v[0], v[1]))[1] if beam else ""
+                    total, state, made = cost + price, past, way[1:]
+                if state not in step or total < step[state][0]:
+                    step[state] = (total, *made)
+        ways = step
+    return _spelled(min(ways.values(), key=lambda w: w[0]))
+
+
+def _spelled(way: tuple) -> str:
+    out = []
+    while way is not None:
+        out.append(way[1])
+        way = way[2]
+    return "".join(reversed(out))
+
+
+class Heads:
+    """Says of a lattice if any of its paths may start like, or be, a feature that is known."""
+
+    def __init__(self, known):
+        self.starts = {f[:n] for f in known for n in (1, 2, 3)}
+        self.whole = {f for f in known if len(f) <= 3}
+
+    def reachable(self, word: str) -> bool:
+        """Signs before the first letter may fall off, so that a path may start anew after them."""
+        made = {""}
+        for at, c in enumerate(word):
+            step = set()
+            for x, _ in _options(c, at > 0 and word[at - 1] == c):
+                for m in made:
+                    y = m + x
+                    if not x or y in self.starts:
+                        if len(y) == 3:
+                            return True
+                        step.add(y)
+                    if x and not x.isalnum():
+                        step.add("")  # an edge
+                        step.add(m)
+            made = step
+            if not made:
+                return False
+        return any(m + "$" in self.whole for m in made)
+
+
+def _restored(token: str, costs, heads: Heads | None = None) -> list[str]:
+    """The words of a token; with signs at its edges that may be letters, or a letter twice in a row, those of each reading. heads: readings that can't hold a known feature may be left out."""
+    core, wide = _EDGE.sub("", token), _OUTER.sub("", token)
 
+    def read(x: str) -> list[str]:
+        if heads is not None and not heads.reachable(x):
+            return []
+        return [w for part in restore(x, costs).split() if (w := _EDGE.sub("", part))]
 
-def _restored(token: str, costs) -> list[str]:
-    """The words of a token; with signs at its edges that may be letters, or a letter twice in a row, those of each reading."""
-    core, wide = _EDGE.sub("", token), _OUTER.sub("", token)
-    read = lambda x: [w for part in restore(x, costs).split() if (w := _EDGE.sub("", part))]
     odd = _ODD.search(core)
     out = read(core) if odd else [w for w in re.split(r"[\W_]+", core) if w]
     if not odd and _TWICE.search(core):
@@ -163,12 +208,12 @@ def _restored(token: str, costs) -> list[str]:
 class Readings(dict):
     """The restored words of a token, memoised."""
 
-    def __init__(self, costs):
+    def __init__(self, costs, heads: Heads | None = None):
         super().__init__()
-        self.costs = costs
+        self.costs, self.heads = costs, heads
 
     def __missing__(self, token: str) -> list[str]:
-        x = _restored(token, self.costs)
+        x = _restored(token, self.costs, self.heads)
         if len(token) < 48:
             if len(self) >= MEMO:
                 self.clear()
@@ -180,7 +225,8 @@ def words_of(text: str | None, costs, readings: Readings | None = None) -> set[s
     """The distinct words of a whole text, restored."""
     text, readings = (text or "").lower(), Readings(costs) if readings is None else readings
     out = {w for t in set(text.split()) for w in readings[t]}
-    return out | {w for x in spaced_out(text) for w in restore(x, costs).split()}
+    heads = readings.heads
+    return out | {w for x in spaced_out(text) if heads is None or heads.reachable(x) for w in restore(x, costs).split()}
 
 
 def features(word: str) -> list[str]:
@@ -193,7 +239,7 @@ class Evidence(dict):
     def __init__(self, weights: dict[str, float], costs):
         super().__init__()
         self.weights, self.costs, self.older = weights, costs, {}
-        self.heads = {f[:3] for f in weights}
+        self.heads, self.lattice = {f[:3] for f in weights}, Heads(weights)
 
     def of(self, word: str) -> float:
         weights = self.weights
@@ -208,7 +254,7 @@ class Evidence(dict):
             if plain.isalpha() and not _TWICE.search(plain):
                 x = self.of(plain)  # has one path
             else:
-                x = max([0.0, *map(self.of, _restored(token, self.costs))])
+                x = max([0.0, *map(self.of, _restored(token, self.costs, self.lattice))])
         if len(token) < 48:
             if len(self) >= MEMO:
                 self.older = dict(self)
@@ -219,7 +265,7 @@ class Evidence(dict):
     def document(self, text: str | None) -> float:
         text = (text or "").lower()
         x = max(map(self.__getitem__, set(text.split())), default=0.0)
-        for letters in spaced_out(text):
+        for letters in filter(self.lattice.reachable, spaced_out(text)):
             x = max([x, *map(self.of, restore(letters, self.costs).split())])
         return x
 
@@ -232,7 +278,7 @@ def _counted(rows: DataFrame, costs, wanted: set[str] | None) -> dict[str, int]:
         import pyarrow as pa
 
         costs, wanted = shared.value
-        counts, readings = Counter(), Readings(costs)
+        counts, readings = Counter(), Readings(costs, None if wanted is None else Heads(wanted))
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 for text in batch.column(0).slice(start, ROWS).to_pylist():
@@ -304,7 +350,8 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
         .limit(fit_rows)
     )
     costs = language_model(character_counts(rows).toPandas())
-    fit = stored(rows.join(F.broadcast(taught), "doc_id").where("text IS NOT NULL"))
+    # Of rows with one id a single one teaches, which bounds the sample by its ids.
+    fit = stored(rows.join(F.broadcast(taught), "doc_id").where("text IS NOT NULL").groupBy("doc_id", "label", "part").agg(F.min("text").alias("text")))
     learn, check = fit.where("part <> 3"), fit.where("part = 3")
     toxic = _counted(learn.where("label = 1"), costs, None)
     clean = _counted(learn.where("label = 0"), costs, set(toxic))

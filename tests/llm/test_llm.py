@@ -397,6 +397,48 @@ def test_restoration(spark):
     assert np.exp(-costs.reshape(-1, 32)).sum(axis=1) == pytest.approx(np.ones(32**3), abs=1e-3)
 
 
+def brute_paths(word, costs):
+    """(cost, text) of every path of a lattice."""
+    paths = [(0.0, 0, "")]
+    for at, c in enumerate(word):
+        step = []
+        for cost, past, text in paths:
+            for x, price in toxicity._options(c, at > 0 and word[at - 1] == c):
+                s = toxicity.symbol(x) if x else None
+                step.append((cost + price, past, text) if s is None else (cost + price + float(costs[past * 32 + s]), (past * 32 + s) % 32**3 if s else 0, text + x))
+        paths = step
+    return [(c, x) for c, _, x in paths]
+
+
+@pytest.fixture(scope="module")
+def costs(spark):
+    ship = [(i, t) for i, t in enumerate(["the idiot and the moron ran", "a stupid loser said so", "trash and scum in the street"] * 30)]
+    return toxicity.language_model(toxicity.character_counts(spark.createDataFrame(ship, "doc_id int, text string")).toPandas())
+
+
+def test_search_finds_the_best_path_of_all(costs):
+    rng = random.Random(3)
+    for _ in range(400):
+        word = "".join(rng.choice("idotmr10$!.*@éaa") for _ in range(rng.randint(1, 6)))
+        paths = brute_paths(word, costs)
+        best = min(c for c, _ in paths)
+        assert toxicity.restore(word, costs) in {x for c, x in paths if c <= best + 1e-6}, word
+    assert len(toxicity.restore("a" * 20_000, costs)) <= 20_000
+
+
+def test_pruning_loses_no_evidence(costs):
+    rng = random.Random(5)
+    weights = {"idi": 1.0, "idio": 2.0, "idiot$": 3.0, "mor": 0.5, "ass$": 1.5, "ab$": 0.7, "a-b": 0.4}
+    memo, plain = toxicity.Evidence(weights, costs), toxicity.Evidence(weights, costs)
+    plain.lattice.reachable = lambda x: True
+    found = 0
+    for _ in range(4000):
+        text = "".join(rng.choice("iiddoott10!$ .-aasbmr|*") for _ in range(rng.randint(2, 9)))
+        found += plain.document(text) > 0
+        assert memo.document(text) == plain.document(text), text
+    assert found > 20
+
+
 def test_spaced_out():
     for text in ("i d i o t", "an i  d  i  o  t", "i. d. i. o. t.", "i- d- i- o- t-", "i_ d_ i_ o_ t, so", "i * d * i * o * t", "you i\td i o t!", "i d i o t!you", "\u00a0i d i o t\u2003", "x i -d -i -o -t x"):
         assert "idiot" in [x.lstrip("x") for x in toxicity.spaced_out(text)] or "xidiotx" in toxicity.spaced_out(text), text
@@ -426,7 +468,11 @@ def test_toxicity(spark, docs, labels, empty):
     marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)], "doc_id bigint, toxic int")
     got = toxicity.scored(df, marks).collect()
     assert np.mean([(r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in got if r["doc_id"] >= 500]) > 0.97
-    assert toxicity.scored(docs, labels).count() == len(corpus())
+    awkward = toxicity.scored(docs, labels).collect()
+    assert len(awkward) == len(corpus()) and all(0 <= r["score"] <= 1 for r in awkward) and len({r["score"] for r in awkward if r["doc_id"] == 60}) == 1
+    assert len({r["score"] for r in awkward if r["doc_id"] in (64, 65, 66)}) == 1
+    twice = docs.union(docs).union(docs)
+    assert {(r["doc_id"], r["score"]) for r in toxicity.scored(twice, labels).collect()} == {(r["doc_id"], r["score"]) for r in awkward}
     assert {r["score"] for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.5}
     assert toxicity.scored(empty, labels).count() == 0
 
