@@ -5,8 +5,8 @@ lattice: each character may stand for several letters, for itself, or be noise.
 (the last three symbols put out) finds the path that is best under the channel's costs and a character language
 model of four symbols. The model's counts cover all documents; its table has 32**4 entries whatever the corpus. A
 word without suspicious characters has one path, itself, and is not searched; one with a letter twice in a row, or
-with signs at its edges that may be letters, is taken both as it is and as searched. When words are scored, a
-lattice none of whose paths starts like a word with evidence is not searched either, as no path could score.
+with signs at its edges that may be letters, is taken both as it is and as searched. When documents are scored, a
+lattice is not searched if none of its paths could score more than the document's other words do.
 
 Restored words are scored by whole word and prefixes. Evidence of a prefix is a lower confidence bound of its log
 odds between toxic and other documents, learned from labelled documents; a document has the evidence of its
@@ -17,10 +17,11 @@ collected and broadcast. Every whole text is scored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from math import log, prod, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ SYMBOLS = 32
 MIN_TOXIC = 4
 PREFIXES = range(3, 9)
 Z = 1.25
+FEW = 32
 MEMO = 250_000
 ROWS = 128
 
@@ -122,35 +124,56 @@ def language_model(counts):
     return (-np.log(p)).astype(np.float32).ravel()
 
 
-def _options(c: str, again: bool) -> list[tuple[str, float]]:
-    """What a character of a disguised word may stand for, with costs; "" is nothing. again: it repeats the one before."""
+@lru_cache(maxsize=4096)
+def _options(c: str, again: bool) -> list[tuple[str, float, int]]:
+    """What a character of a disguised word may stand for: (character or nothing, cost, symbol). again: it repeats the one before."""
     kind = symbol(c)
-    out = [(x, AS_LETTER) for x in LEET.get(c, "")] + [("", AS_NOISE)] if kind in (0, 28, 29) else []
-    out.append((c, 0.0 if 0 < kind < 28 else AS_ITSELF))
-    return [*out, ("", AS_REPEAT)] if again and 0 < kind < 28 else out
+    out = [(x, AS_LETTER, symbol(x)) for x in LEET.get(c, "")] + [("", AS_NOISE, 0)] if kind in (0, 28, 29) else []
+    out.append((c, 0.0 if 0 < kind < 28 else AS_ITSELF, kind))
+    return [*out, ("", AS_REPEAT, 0)] if again and 0 < kind < 28 else out
 
 
 def restore(word: str, costs) -> str:
     """The most likely word behind a lower-case disguised one. Of equally likely ones the first in the order of options."""
+    steps = [_options(c, c == b) for b, c in zip(" " + word, word)]
+    if len(word) < 64 and prod(map(len, steps)) <= FEW:
+        return _best_of_few(steps, costs)
     # For each state, the last three symbols, the cheapest way there: (cost, last character put out, the way before).
     ways: dict[int, tuple] = {0: (0.0, "", None)}
-    for at, c in enumerate(word):
-        options = [(x, price, symbol(x) if x else 0) for x, price in _options(c, at > 0 and word[at - 1] == c)]
+    for options in steps:
         step: dict[int, tuple] = {}
         for past, way in ways.items():
             cost = way[0]
             for x, price, s in options:
                 if x:
                     code = past * SYMBOLS + s
-                    total, state, made = cost + price + float(costs[code]), code % SYMBOLS**3 if s else 0, (x, way)
+                    total, state = cost + price + float(costs[code]), code % SYMBOLS**3 if s else 0
+                    if state not in step or total < step[state][0]:
+                        step[state] = (total, x, way)
                 else:
-                    total, state, made = cost + price, past, way[1:]
-                if state not in step or total < step[state][0]:
-                    step[state] = (total, *made)
+                    total = cost + price
+                    if past not in step or total < step[past][0]:
+                        step[past] = (total, way[1], way[2])
         ways = step
     return _spelled(min(ways.values(), key=lambda w: w[0]))
 
 
+def _best_of_few(steps: list[list[tuple[str, float, int]]], costs) -> str:
+    """restore() where all paths are few enough to go through each."""
+    ways = [(0.0, 0, "")]
+    for options in steps:
+        step = []
+        for x, price, s in options:
+            if x:
+                for total, past, text in ways:
+                    code = past * SYMBOLS + s
+                    step.append((total + price + costs[code], code % SYMBOLS**3 if s else 0, text + x))
+            else:
+                step += [(total + price, past, text) for total, past, text in ways]
+        ways = step
+    return min(ways)[2]
+
+
 def _spelled(way: tuple) -> str:
     out = []
     while way is not None:
@@ -159,87 +182,104 @@ def _spelled(way: tuple) -> str:
     return "".join(reversed(out))
 
 
-class Heads:
-    """Says of a lattice if any of its paths may start like, or be, a feature that is known."""
+class Bounds:
+    """The most that any path of a lattice can score."""
 
-    def __init__(self, known):
-        self.starts = {f[:n] for f in known for n in (1, 2, 3)}
-        self.whole = {f for f in known if len(f) <= 3}
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.starts = {f[:n] for f in weights for n in range(1, len(f) + (f[-1] != "$"))}
 
-    def reachable(self, word: str) -> bool:
-        """Signs before the first letter may fall off, so that a path may start anew after them."""
-        made = {""}
-        for at, c in enumerate(word):
+    def of(self, word: str) -> float:
+        """Signs before the first letter may fall off, so that a path may start anew after them; so may signs at the end."""
+        made, best, before = {""}, 0.0, ""
+        weights, starts = self.weights, self.starts
+        for c in word:
             step = set()
-            for x, _ in _options(c, at > 0 and word[at - 1] == c):
+            for x, _, _ in _options(c, c == before):
+                if not x:
+                    step |= made
+                    continue
                 for m in made:
                     y = m + x
-                    if not x or y in self.starts:
-                        if len(y) == 3:
-                            return True
+                    if y in starts:
                         step.add(y)
-                    if x and not x.isalnum():
-                        step.add("")  # an edge
-                        step.add(m)
-            made = step
+                        if (w := weights.get(y, 0.0)) > best:
+                            best = w
+                if not x.isalnum():
+                    step |= made
+                    step.add("")
+            made, before = step, c
             if not made:
-                return False
-        return any(m + "$" in self.whole for m in made)
+                return best
+        return max([best, *(weights.get(m + "$", 0.0) for m in made)])
 
 
-def _restored(token: str, costs, heads: Heads | None = None) -> list[str]:
-    """The words of a token; with signs at its edges that may be letters, or a letter twice in a row, those of each reading. heads: readings that can't hold a known feature may be left out."""
+def _readings(token: str) -> tuple[list[str], list[str]]:
+    """(words as they stand, lattices to search) of a token; with signs at its edges that may be letters, or a letter twice in a row, there are several readings."""
     core, wide = _EDGE.sub("", token), _OUTER.sub("", token)
+    odd = _ODD.search(core)
+    plain = [] if odd else [w for w in re.split(r"[\W_]+", core) if w]
+    return plain, ([core] if odd or _TWICE.search(core) else []) + ([wide] if wide != core and len(set(wide)) > 1 else [])
 
-    def read(x: str) -> list[str]:
-        if heads is not None and not heads.reachable(x):
-            return []
-        return [w for part in restore(x, costs).split() if (w := _EDGE.sub("", part))]
 
-    odd = _ODD.search(core)
-    out = read(core) if odd else [w for w in re.split(r"[\W_]+", core) if w]
-    if not odd and _TWICE.search(core):
-        out += read(core)
-    if wide != core and (len(set(wide)) > 1):
-        out += read(wide)
-    return list(dict.fromkeys(out))
+def _one_path(core: str) -> bool:
+    """A token of letters with only marks around it, no letter twice in a row."""
+    return core.isalpha() and not _TWICE.search(core)
+
+
+def _searched(lattice: str, costs) -> list[str]:
+    return [w for part in restore(lattice, costs).split() if (w := _EDGE.sub("", part))]
 
 
-class Readings(dict):
-    """The restored words of a token, memoised."""
+def _restored(token: str, costs, bounds: Bounds | None = None) -> list[str]:
+    """The words of a token, of each of its readings. bounds: lattices that can't hold a feature with weight may be left out."""
+    plain, lattices = _readings(token)
+    return list(dict.fromkeys([*plain, *(w for x in lattices if bounds is None or bounds.of(x) > 0 for w in _searched(x, costs))]))
 
-    def __init__(self, costs, heads: Heads | None = None):
+
+def features(word: str) -> list[str]:
+    return [word[:n] for n in PREFIXES if n < len(word)] + [word + "$"]
+
+
+class Features(dict):
+    """The features of a token's restored words, memoised; of all, or of the wanted."""
+
+    def __init__(self, costs, wanted: set[str] | None = None):
         super().__init__()
-        self.costs, self.heads = costs, heads
+        self.costs, self.wanted = costs, wanted
+        self.bounds = None if wanted is None else Bounds(dict.fromkeys(wanted, 1.0))
+
+    def of(self, words: list[str]) -> list[str]:
+        wanted = self.wanted
+        return [f for w in words for f in features(w) if wanted is None or f in wanted]
 
     def __missing__(self, token: str) -> list[str]:
-        x = _restored(token, self.costs, self.heads)
+        core = token.strip(_MARKS)
+        x = self.of([core] if _one_path(core) else _restored(token, self.costs, self.bounds))
         if len(token) < 48:
             if len(self) >= MEMO:
                 self.clear()
             self[token] = x
         return x
 
-
-def words_of(text: str | None, costs, readings: Readings | None = None) -> set[str]:
-    """The distinct words of a whole text, restored."""
-    text, readings = (text or "").lower(), Readings(costs) if readings is None else readings
-    out = {w for t in set(text.split()) for w in readings[t]}
-    heads = readings.heads
-    return out | {w for x in spaced_out(text) if heads is None or heads.reachable(x) for w in restore(x, costs).split()}
-
-
-def features(word: str) -> list[str]:
-    return [word[:n] for n in PREFIXES if n < len(word)] + [word + "$"]
+    def document(self, text: str | None) -> set[str]:
+        """The features of a whole text."""
+        text = (text or "").lower()
+        out = set().union(*map(self.__getitem__, set(text.split())))
+        for x in spaced_out(text):
+            if self.bounds is None or self.bounds.of(x) > 0:
+                out.update(self.of(restore(x, self.costs).split()))
+        return out
 
 
 class Evidence(dict):
-    """Evidence of a token, memoised: the strongest of its restored words."""
+    """What tokens say, memoised: the evidence of the strongest of their words; or, as long as nothing asked for more,
+    (bound of what a search may find, evidence without it, token)."""
 
     def __init__(self, weights: dict[str, float], costs):
         super().__init__()
         self.weights, self.costs, self.older = weights, costs, {}
-        self.heads, self.lattice = {f[:3] for f in weights}, Heads(weights)
+        self.heads, self.bounds = {f[:3] for f in weights}, Bounds(weights)
 
     def of(self, word: str) -> float:
         weights = self.weights
@@ -247,14 +287,21 @@ class Evidence(dict):
             return 0.0
         return max([0.0, *(weights[f] for f in features(word) if f in weights)])
 
-    def __missing__(self, token: str) -> float:
+    def __missing__(self, token: str):
         x = self.older.get(token)
         if x is None:
-            plain = token.strip(_MARKS)
-            if plain.isalpha() and not _TWICE.search(plain):
-                x = self.of(plain)  # has one path
+            core = token.strip(_MARKS)
+            if _one_path(core):
+                x = self.of(core)
             else:
-                x = max([0.0, *map(self.of, _restored(token, self.costs, self.lattice))])
+                plain, lattices = _readings(token)
+                x = max([0.0, *map(self.of, plain)])
+                bound = max([0.0, *map(self.bounds.of, lattices)])
+                if bound > x:
+                    x = (bound, x, token)
+        return self._kept(token, x)
+
+    def _kept(self, token: str, x):
         if len(token) < 48:
             if len(self) >= MEMO:
                 self.older = dict(self)
@@ -263,11 +310,26 @@ class Evidence(dict):
         return x
 
     def document(self, text: str | None) -> float:
+        """The evidence of the strongest word. Lattices are searched in falling order of their bounds, until none can add."""
         text = (text or "").lower()
-        x = max(map(self.__getitem__, set(text.split())), default=0.0)
-        for letters in filter(self.lattice.reachable, spaced_out(text)):
-            x = max([x, *map(self.of, restore(letters, self.costs).split())])
-        return x
+        best, open_ = 0.0, [(b, 0.0, "", x) for x in spaced_out(text) if (b := self.bounds.of(x)) > 0]
+        for token in set(text.split()):
+            x = self[token]
+            if x.__class__ is tuple:
+                open_.append((*x, None))
+                x = x[1]
+            if x > best:
+                best = x
+        for bound, x, token, letters in sorted(open_, key=lambda o: (-o[0], o[2], o[3] or "")):
+            if bound <= best:
+                break
+            if letters is not None:
+                x = max([0.0, *map(self.of, restore(letters, self.costs).split())])
+            else:
+                x = max([x, *(self.of(w) for y in _readings(token)[1] for w in _searched(y, self.costs))])
+                self._kept(token, x)
+            best = max(best, x)
+        return best
 
 
 def _counted(rows: DataFrame, costs, wanted: set[str] | None) -> dict[str, int]:
@@ -278,12 +340,11 @@ def _counted(rows: DataFrame, costs, wanted: set[str] | None) -> dict[str, int]:
         import pyarrow as pa
 
         costs, wanted = shared.value
-        counts, readings = Counter(), Readings(costs, None if wanted is None else Heads(wanted))
+        counts, memo = Counter(), Features(costs.tolist(), wanted)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 for text in batch.column(0).slice(start, ROWS).to_pylist():
-                    found = {f for w in words_of(text, costs, readings) for f in features(w)}
-                    counts.update(found if wanted is None else found & wanted)
+                    counts.update(memo.document(text))
         rows = list(counts.items())
         for start in range(0, len(rows), 50_000):
             part = rows[start : start + 50_000]
@@ -301,7 +362,8 @@ def _measured(rows: DataFrame, weights: dict[str, float], costs, keep: tuple[str
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        memo = Evidence(*shared.value)
+        weights, costs = shared.value
+        memo = Evidence(weights, costs.tolist())
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
@@ -359,8 +421,8 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     weights = {}
     for f, t in toxic.items():
         c = clean.get(f, 0)
-        odds = math.log((t + 0.5) / (totals.get(1, 0) + 1)) - math.log((c + 0.5) / (totals.get(0, 0) + 1))
-        if (low := odds - Z * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))) > 0:
+        odds = log((t + 0.5) / (totals.get(1, 0) + 1)) - log((c + 0.5) / (totals.get(0, 0) + 1))
+        if (low := odds - Z * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))) > 0:
             weights[f] = round(low, 6)
     points = [(r["x"], r["label"], r["count"]) for r in _measured(check, weights, costs, ("label",)).groupBy(F.round("evidence", 2).alias("x"), "label").count().orderBy("x", "label").collect()]
     seen = sum(p[2] for p in points)
@@ -368,7 +430,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
         slope, base = _logistic(points)
     else:
         share = sum(p[1] * p[2] for p in points) / seen if seen else 0.5
-        slope, base = 0.0, math.log(min(max(share, 0.001), 0.999) / (1 - min(max(share, 0.001), 0.999)))
+        slope, base = 0.0, log(min(max(share, 0.001), 0.999) / (1 - min(max(share, 0.001), 0.999)))
     score = 1 / (1 + F.exp(-(slope * F.col("evidence") + base)))
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     return _measured(rows, weights, costs, ("doc_id",)).select("doc_id", held.alias("held_out"), "evidence", F.round(score, 9).alias("score"))

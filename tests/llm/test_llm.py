@@ -393,7 +393,7 @@ def test_restoration(spark):
     assert {w: toxicity._restored(w, costs) for w in ("1d10t", "m0r0n", "id.iot", "idiooot", "$tupid", "l0s3r", "s.c.u.m", "tr@sh", "the", "12")} == {
         "1d10t": ["idiot"], "m0r0n": ["moron"], "id.iot": ["idiot"], "idiooot": ["idiot"], "$tupid": ["stupid"], "l0s3r": ["loser"], "s.c.u.m": ["scum"], "tr@sh": ["trash"], "the": ["the"], "12": ["12"]
     }
-    assert "idiot" in toxicity.words_of("you i d i o t, you", costs) and toxicity.words_of(None, costs) == set()
+    assert "idiot$" in toxicity.Features(costs).document("you i d i o t, you") and toxicity.Features(costs).document(None) == set()
     assert np.exp(-costs.reshape(-1, 32)).sum(axis=1) == pytest.approx(np.ones(32**3), abs=1e-3)
 
 
@@ -403,9 +403,8 @@ def brute_paths(word, costs):
     for at, c in enumerate(word):
         step = []
         for cost, past, text in paths:
-            for x, price in toxicity._options(c, at > 0 and word[at - 1] == c):
-                s = toxicity.symbol(x) if x else None
-                step.append((cost + price, past, text) if s is None else (cost + price + float(costs[past * 32 + s]), (past * 32 + s) % 32**3 if s else 0, text + x))
+            for x, price, s in toxicity._options(c, at > 0 and word[at - 1] == c):
+                step.append((cost + price, past, text) if not x else (cost + price + float(costs[past * 32 + s]), (past * 32 + s) % 32**3 if s else 0, text + x))
         paths = step
     return [(c, x) for c, _, x in paths]
 
@@ -429,13 +428,14 @@ def test_search_finds_the_best_path_of_all(costs):
 def test_pruning_loses_no_evidence(costs):
     rng = random.Random(5)
     weights = {"idi": 1.0, "idio": 2.0, "idiot$": 3.0, "mor": 0.5, "ass$": 1.5, "ab$": 0.7, "a-b": 0.4}
-    memo, plain = toxicity.Evidence(weights, costs), toxicity.Evidence(weights, costs)
-    plain.lattice.reachable = lambda x: True
-    found = 0
+    memo, found = toxicity.Evidence(weights, costs), 0
     for _ in range(4000):
-        text = "".join(rng.choice("iiddoott10!$ .-aasbmr|*") for _ in range(rng.randint(2, 9)))
-        found += plain.document(text) > 0
-        assert memo.document(text) == plain.document(text), text
+        text = "".join(rng.choice("iiddoott10!$ .-aasbmr|*") for _ in range(rng.randint(2, 30)))
+        every = toxicity.Features(costs).document(text)
+        want = max((weights[f] for f in every if f in weights), default=0.0)
+        assert toxicity.Features(costs, set(weights)).document(text) == every & set(weights)
+        assert memo.document(text) == want, text
+        found += want > 0
     assert found > 20
 
 
@@ -454,7 +454,7 @@ def test_readings_of_doubled_letters_and_edges(spark):
     ship = [(i, t) for i, t in enumerate(["the idiot and the clown ran", "a stupid loser said so", "good people keep books"] * 30)]
     costs = toxicity.language_model(toxicity.character_counts(spark.createDataFrame(ship, "doc_id int, text string")).toPandas())
     for token, word in {"idioot": "idiot", "iidioott": "idiot", "stuupid": "stupid", "!diot": "idiot", "|diot,": "idiot", "*diot": "idiot", "(lown": "clown", "idio+": "idiot", '"!d1ot"': "idiot"}.items():
-        assert word in toxicity._restored(token, costs) and word in toxicity.words_of(f"you {token}", costs), token
+        assert word in toxicity._restored(token, costs) and word + "$" in toxicity.Features(costs).document(f"you {token}"), token
         assert toxicity.Evidence({word + "$": 2.0}, costs).document(f"you {token}") == 2.0, token
     assert "books" in toxicity._restored("books!", costs) and toxicity.Evidence({"good$": 1.0}, costs).document("good!") == 1.0
     assert toxicity._restored("!!!", costs) == toxicity._restored("***", costs) == []
