@@ -187,10 +187,23 @@ class Bounds:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.starts = {f[:n] for f in weights for n in range(1, len(f) + (f[-1] != "$"))}
+        self.starts = {f[:n] for f in weights for n in range(1, len(f) + (f[-1] != "$"))}  # of features, without the end of whole words
+
+    def evidence(self, word: str) -> float:
+        """The largest weight of the features of a word."""
+        weights, starts = self.weights, self.starts
+        best = weights.get(word + "$", 0.0)
+        for n in range(PREFIXES[0], min(PREFIXES[-1] + 1, len(word))):
+            if (start := word[:n]) not in starts:
+                break
+            if (w := weights.get(start, 0.0)) > best:
+                best = w
+        return best
 
     def of(self, word: str) -> float:
         """Signs before the first letter may fall off, so that a path may start anew after them; so may signs at the end."""
+        if word.isalpha() and len(made := _variants(word)) <= FEW:
+            return max(map(self.evidence, made))
         made, best, before = {""}, 0.0, ""
         weights, starts = self.weights, self.starts
         for c in word:
@@ -216,15 +229,26 @@ class Bounds:
 
 def _readings(token: str) -> tuple[list[str], list[str]]:
     """(words as they stand, lattices to search) of a token; with signs at its edges that may be letters, or a letter twice in a row, there are several readings."""
+    if (core := token.strip(_MARKS)).isalpha():
+        twice = _TWICE.search(core)
+        return [] if twice and _ODD.search(core) else [core], [core] if twice else []
     core, wide = _EDGE.sub("", token), _OUTER.sub("", token)
     odd = _ODD.search(core)
     plain = [] if odd else [w for w in re.split(r"[\W_]+", core) if w]
     return plain, ([core] if odd or _TWICE.search(core) else []) + ([wide] if wide != core and len(set(wide)) > 1 else [])
 
 
-def _one_path(core: str) -> bool:
-    """A token of letters with only marks around it, no letter twice in a row."""
-    return core.isalpha() and not _TWICE.search(core)
+def _variants(word: str) -> list[str]:
+    """A word of letters with repeated letters kept or dropped; more than FEW are not all there are."""
+    parts, before = [""], ""
+    for c in word:
+        grown = [p + c for p in parts]
+        if c == before:
+            grown += parts
+            if len(grown) > FEW:
+                return grown
+        parts, before = grown, c
+    return parts
 
 
 def _searched(lattice: str, costs) -> list[str]:
@@ -251,11 +275,12 @@ class Features(dict):
 
     def of(self, words: list[str]) -> list[str]:
         wanted = self.wanted
-        return [f for w in words for f in features(w) if wanted is None or f in wanted]
+        if wanted is None:
+            return [f for w in words for f in features(w)]
+        return [f for w in words if w[:3] in self.bounds.starts for f in features(w) if f in wanted]
 
     def __missing__(self, token: str) -> list[str]:
-        core = token.strip(_MARKS)
-        x = self.of([core] if _one_path(core) else _restored(token, self.costs, self.bounds))
+        x = self.of(_restored(token, self.costs, self.bounds))
         if len(token) < 48:
             if len(self) >= MEMO:
                 self.clear()
@@ -278,27 +303,16 @@ class Evidence(dict):
 
     def __init__(self, weights: dict[str, float], costs):
         super().__init__()
-        self.weights, self.costs, self.older = weights, costs, {}
-        self.heads, self.bounds = {f[:3] for f in weights}, Bounds(weights)
-
-    def of(self, word: str) -> float:
-        weights = self.weights
-        if word[:3] not in self.heads and word + "$" not in weights:
-            return 0.0
-        return max([0.0, *(weights[f] for f in features(word) if f in weights)])
+        self.costs, self.older, self.bounds = costs, {}, Bounds(weights)
+        self.of = self.bounds.evidence
 
     def __missing__(self, token: str):
         x = self.older.get(token)
         if x is None:
-            core = token.strip(_MARKS)
-            if _one_path(core):
-                x = self.of(core)
-            else:
-                plain, lattices = _readings(token)
-                x = max([0.0, *map(self.of, plain)])
-                bound = max([0.0, *map(self.bounds.of, lattices)])
-                if bound > x:
-                    x = (bound, x, token)
+            plain, lattices = _readings(token)
+            x = max([0.0, *map(self.of, plain)])
+            if lattices and (bound := max(map(self.bounds.of, lattices))) > x:
+                x = (bound, x, token)
         return self._kept(token, x)
 
     def _kept(self, token: str, x):
