@@ -59,6 +59,14 @@ def _remove(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mixed(x):
     """A bijection of 64-bit integers that spreads their bits (the finaliser of splitmix64)."""
     import numpy as np

@@ -68,9 +68,9 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("line_id"), text.alias("line"))
     signed = stored(_signed(rows))
-    buckets = stored(_buckets(signed))
+    buckets = stored(_buckets(signed.groupBy("line_id").agg(F.first("bands").alias("bands"))))
     texts = rows.groupBy("line_id").agg(F.first("line").alias("line")).join(buckets.select("line_id").distinct(), "line_id", "left_semi")
-    roots = connected(verified(buckets.join(texts, "line_id"), similarity, shingle_sets))
+    roots = connected(verified(buckets, texts, similarity, shingle_sets))
     firsts = signed.groupBy("line_id").agg(F.min("doc_id").alias("first"))
     linked = firsts.join(roots, firsts["line_id"] == roots["node"]).select("line_id", "root", "first")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("class")), "root").select("line_id", "class")

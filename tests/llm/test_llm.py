@@ -123,10 +123,15 @@ def test_quality_rules(spark, docs, labels, empty):
     assert quality_rules.judged(empty, labels).count() == 0 == quality_rules.kept(empty, labels).count()
 
 
-def test_line_dedup(spark, docs, empty):
+@pytest.mark.parametrize("case", ["plain", "dealt", "one id for many lines"])
+def test_line_dedup(spark, docs, empty, case, monkeypatch):
+    if case == "dealt":
+        monkeypatch.setattr(line_dedup, "DEAL", 2)
+    if case == "one id for many lines":
+        monkeypatch.setattr(line_dedup, "_line_id", lambda line: F.length(line).cast("long"))
     rng = random.Random(9)
     lines = [prose(rng, rng.randint(2, 25)) for _ in range(40)]
-    lines += [x[: len(x) // 2] + "q" + x[len(x) // 2 :] for x in lines[:20]] + ["ab", "ab", "cd", "x" * 20_000, "x" * 20_001]
+    lines += [x[: len(x) // 2] + "q" + x[len(x) // 2 :] for x in lines[:20]] + [f"{lines[0]} {lines[1]} {i} {lines[2]}" for i in range(12)] + ["ab", "ab", "cd", "x" * 20_000, "x" * 20_001]
     rng.shuffle(lines)
     texts = ["\n".join(lines[i : i + 6]) for i in range(0, len(lines), 6)] + [None, "", "\n \n", lines[0]]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
@@ -153,6 +158,46 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_classes(docs).count() > 0 and line_dedup.deduplicated(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("deal", [2, 3, 7, 50])
+def test_dealer(deal, monkeypatch):
+    monkeypatch.setattr(line_dedup, "DEAL", deal)
+    rng = random.Random(deal)
+    for _ in range(40):
+        rows = [(b, x) for b in range(12) for x in range(rng.choice([1, 1, 2, 3, 8, 20]))]
+        dealer, made = line_dedup._Dealer(), []
+        at = 0
+        while at <= len(rows):
+            step = rng.randint(1, 9)
+            part, last = rows[at : at + step], at + step > len(rows)
+            made += [r for batch in dealer.feed(*(np.array([p[i] for p in part], np.int64) for i in (0, 1)), last) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            at += step
+        sizes = Counter(b for b, _ in rows)
+        assert {(b, x) for b, _, x, *_ in made} == {r for r in rows if sizes[r[0]] > 1}
+        shares = Counter((b, s) for b, s, *_ in made)
+        assert len(made) == len({r[:3] for r in made}) and max(shares.values()) <= deal + 1
+        assert all(many == (sizes[b] > deal) for b, _, _, _, many in made) and all((b, s, 0) in {r[:3] for r in made} for b, s in shares)
+
+
+def test_band_recall():
+    """Of pairs of similarity 0.8 to 0.9 nearly all agree on a band."""
+    rng, met, seen = random.Random(21), 0, 0
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    pairs = []
+    for _ in range(3000):
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(40, 200)))
+        b = list(a)
+        for _ in range(max(1, len(a) // 70)):
+            b[rng.randrange(len(b))] = rng.choice(letters)
+        pairs.append((a, "".join(b)))
+    for a, b in pairs:
+        x, y = ({s[i : i + 6] for i in range(len(s) - 5)} for s in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.9:
+            made = line_dedup.bands([a, b]).reshape(2, line_dedup.BANDS, -1)
+            met += bool((made[0] == made[1]).all(axis=1).any())
+            seen += 1
+    assert seen > 500 and met >= 0.99 * seen
+
+
 def test_signatures_agree_with_jaccard():
     rng = random.Random(3)
     a = prose(rng, 200)
