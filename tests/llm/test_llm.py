@@ -175,7 +175,7 @@ def test_dealer(deal, monkeypatch):
         assert {(b, x) for b, _, x, *_ in made} == {r for r in rows if sizes[r[0]] > 1}
         shares = Counter((b, s) for b, s, *_ in made)
         assert len(made) == len({r[:3] for r in made}) and max(shares.values()) <= deal + 1
-        assert all(many == (sizes[b] > deal) for b, _, _, _, many in made) and all((b, s, 0) in {r[:3] for r in made} for b, s in shares)
+        assert all((pivot is not None) == (sizes[b] > deal) for b, *_, pivot in made) and all(pivot is None or (b, s, pivot) in {r[:3] for r in made} for b, s, _, _, pivot in made)
 
 
 def test_band_recall():
