@@ -1,12 +1,13 @@
 """Quality rules whose cutoffs carry a guarantee: few good documents are rejected, in every stratum.
 
 Each rule compares a ratio of integer counts with a cutoff. For a cutoff, a stratum has n labelled good documents
-of which k would be rejected. The exact binomial test asks for P(X <= k | n, alpha) <= delta / m, which is the
-same as a Clopper-Pearson upper bound on the false rejection rate of at most alpha at level 1 - delta / m.
-Cutoffs of a rule are tried in a fixed order from lax to strict and the last one before the first failure is
-taken; fixed-sequence testing needs no correction within a rule, and Bonferroni over the m = rules x strata
-sequences covers the rest. So with probability 1 - delta no rule rejects more than alpha of a stratum's good
-documents, at any size. A stratum with too few labels gets no cutoffs, and nothing there is rejected.
+of which k would be rejected. The exact binomial test asks for P(X <= k | n, alpha / rules) <= delta / m, which is
+the same as a Clopper-Pearson upper bound on the rule's false rejection rate of at most alpha / rules at level
+1 - delta / m. Cutoffs of a rule are tried in a fixed order from lax to strict and the last one before the first
+failure is taken; fixed-sequence testing needs no correction within a rule, and Bonferroni over the m = rules x
+strata sequences covers the rest. So with probability 1 - delta the rules together reject at most alpha of every
+stratum's good documents, at any size; the base checks are given and not part of that. A stratum with too few labels
+gets no cutoffs, and nothing there is rejected by a rule.
 
 Everything is DataFrame operations. The counts of a text are array expressions linear in its length (a sort of
 window hashes apart); they are stored once, as a few integers a row, for calibration and verdict.
@@ -24,8 +25,6 @@ from quarrymill.llm.common import stored, table, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 WINDOW = 8
-#: Labelled ids that are broadcast at most: 16 MB.
-SMALL = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,9 +39,9 @@ class Rule:
 
 @dataclass(frozen=True)
 class Policy:
-    """alpha: false rejections that a rule may make in a stratum. delta: chance that any rule makes more."""
+    """alpha: false rejections that the rules together may make in a stratum, in equal shares. delta: chance that they make more."""
 
-    alpha: float = 0.01
+    alpha: float = 0.05
     delta: float = 0.05
     rules: tuple[Rule, ...] = field(
         default=(
@@ -54,6 +53,11 @@ class Policy:
         )
     )
 
+    @property
+    def share(self) -> float:
+        """False rejections that one rule may make."""
+        return self.alpha / len(self.rules)
+
 
 def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns in keep, then the integer counts of each text (null: the empty text).
@@ -148,7 +152,7 @@ def cutoffs(counts: DataFrame, good: DataFrame, stratum: str, policy: Policy = P
         for i, c in enumerate(r.cutoffs)
     ]
     tried = seen.select("__stratum", "n", F.explode(F.array(*tries)).alias("x")).select("__stratum", "n", "x.*")
-    safe = F.when(F.col("k") <= policy.alpha * F.col("n"), binomial_tail(F.col("k"), F.col("n"), policy.alpha) <= policy.delta / m).otherwise(False)
+    safe = F.when(F.col("k") <= policy.share * F.col("n"), binomial_tail(F.col("k"), F.col("n"), policy.share) <= policy.delta / m).otherwise(False)
     sequences = tried.groupBy("__stratum", "rule").agg(
         F.min(F.when(~safe, F.col("step"))).alias("failed"), F.array_sort(F.collect_list(F.struct("step", "cutoff"))).alias("steps")
     )
@@ -186,16 +190,14 @@ def _with_verdict(counts: DataFrame, limits: DataFrame, stratum: str, policy: Po
 def kept(docs: DataFrame, labels: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that judged() keeps, with all their columns; texts are not moved.
 
-    Holdouts are found first: by a broadcast of the labelled ids up to SMALL of them, beyond that by a join on the
-    counts of all rows. Cutoffs are those of judged() on the same rows.
+    Counts are stored beside the rows, so that texts are counted once, for cutoffs and verdict alike. Nulls, ties,
+    repeated rows and empty tables are as in judged().
     """
     good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("doc_id"))
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("body"))
-    if good.count() <= SMALL:
-        named = named.join(F.broadcast(good.distinct()), "doc_id", "left_semi")
-    limits = stored(cutoffs(text_counts(named, "body", ("doc_id", "stratum")), good, "stratum", policy))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("body"))
-    return _with_verdict(text_counts(rows, "body", ("row", "stratum")), limits, "stratum", policy).where("kept").select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("body"))
+    counts = stored(text_counts(rows, "body", ("row", "doc_id", "stratum")))
+    limits = stored(cutoffs(counts.drop("row"), good, "stratum", policy))
+    return _with_verdict(counts, limits, "stratum", policy).where("kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,8 +211,8 @@ def _oracle(policy: Policy = Policy()) -> str:
 
     def ok(r: Rule, c: int) -> str:
         k = f"k_{r.name}_{c}"
-        term = f"exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({policy.alpha}) + (n - j) * ln(1 - {policy.alpha}))"
-        return f"({k} <= {policy.alpha} * n AND list_sum(list_transform(range(0, {k} + 1), lambda j: {term})) <= {policy.delta} / ({len(policy.rules)} * (SELECT count(*) FROM seen)))"
+        term = f"exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({policy.share}) + (n - j) * ln(1 - {policy.share}))"
+        return f"({k} <= {policy.share} * n AND list_sum(list_transform(range(0, {k} + 1), lambda j: {term})) <= {policy.delta} / ({len(policy.rules)} * (SELECT count(*) FROM seen)))"
 
     def best(r: Rule) -> str:
         cases = "".join(
