@@ -1,12 +1,12 @@
 """Quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE bytes; its label says nothing of which passages are bad. Each passage
-is described by what its bytes show (kinds of characters, their neighbours, repetition), encoded by one layer, and
+is described by what its bytes show (kinds of characters, their neighbours, repetition, hashed runs of four bytes), encoded by one layer, and
 gets a gated attention weight: softmax over the document of w . (tanh(V h) * sigmoid(U h)). The weighted sum of
 encodings gives the score. Encoder, attention and output are learned together from document labels alone, with
-numpy on the driver, from at most FIT_ROWS labelled documents (those with the smallest hashes of their ids) and at
-most FIT_PASSAGES passages of each, evenly spaced; these bounds hold for fitting only. Scores use every passage of
-every text. The model is a few thousand numbers.
+numpy on the driver, from whole labelled documents in order of the hashes of their ids: at most FIT_ROWS of them,
+as far as they make up at most FIT_PASSAGES passages together; these bounds hold for fitting only. Scores use every
+passage of every text. The model is a few thousand numbers.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import map_arrow, table
+from quarrymill.llm.common import map_arrow, stored, table
 
 PASSAGE = 512
-FIT_ROWS, FIT_PASSAGES = 16_000, 48
+FIT_ROWS, FIT_PASSAGES = 16_000, 400_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 14, 128, 0.01, 1e-4
 SIGNS = b"#*$%&|<>"
 BINS = 256
@@ -42,7 +42,8 @@ def _kinds():
 
 
 KINDS = 19
-FEATURES = KINDS + 7
+GRAMS = 32
+FEATURES = KINDS + 7 + GRAMS
 
 
 def _described(data: bytes, sizes: list[int]):
@@ -73,7 +74,8 @@ def _described(data: bytes, sizes: list[int]):
         (bins > 0).sum(axis=1) / (BINS * (1 - np.exp(-held / BINS))),
         (bins.astype(float) ** 2).sum(axis=1) / held / np.maximum(1, held / BINS) / 10,
     ]
-    return np.column_stack([np.sqrt(counts / size[:, None]), *extra]).astype(np.float32)
+    grams = np.sqrt(bins.reshape(len(n), GRAMS, -1).sum(axis=2) / held[:, None])
+    return np.column_stack([np.sqrt(counts / size[:, None]), *extra, grams]).astype(np.float32)
 
 
 def passages(texts: list[str | None]):
@@ -188,14 +190,20 @@ def _sample(rows: DataFrame, taught: DataFrame):
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 x, numbers = passages(part.column(1).to_pylist())
-                made, at = [], 0
-                for n in numbers:
-                    keep = at + np.unique(np.linspace(0, n - 1, min(n, FIT_PASSAGES)).astype(np.int64))
-                    made.append(x[keep].astype(np.float32).tobytes())
-                    at += n
+                ends = np.cumsum(numbers)
+                made = [x[e - n : e].tobytes() for e, n in zip(ends, numbers, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(made, pa.binary())], ["h", "label", "x"])
 
-    held = rows.join(F.broadcast(taught), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "label")
+    # Of rows with one id a single one teaches, so that at most FIT_ROWS sizes reach the driver.
+    held = rows.join(F.broadcast(taught), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    held = stored(held.select(F.xxhash64("doc_id").alias("h"), "text", "label"))
+    left, last = FIT_PASSAGES, None
+    for r in sorted(held.select("h", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).collect()):
+        left -= r["n"]
+        if left < 0:
+            break
+        last = r["h"]
+    held = held.where(F.col("h") <= last) if last is not None else held.limit(0)
     found = sorted(map_arrow(held, run, "h long, label int, x binary").collect(), key=lambda r: (r["h"], r["x"]))
     xs = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in found]
     if not xs:
