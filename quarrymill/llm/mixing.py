@@ -102,6 +102,8 @@ def multipliers(sizes: DataFrame, sources: DataFrame, cap: int = 2, tolerance: f
         state = stored(moved)
         if state.where("NOT done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the dual has not converged after {most} steps")
     full = F.col("target") >= cap * F.col("source_size").cast("double")
     return sources.join(state.select("key", "mean", "multiplier"), "key").withColumn("multiplier", F.when(~full, F.col("multiplier")))
 
@@ -174,15 +176,22 @@ def mixed(docs: DataFrame, size: Column | None = None, weights: tuple[int, ...]
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix: each row of docs as often as mixed() copies it, with all its columns. Rows alike in id, source and size are numbered on both sides, so each gets its own copies."""
-    key = ["__id", "__source", "__size"]
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))).alias("__k")
-    rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": F.size(words(F.col(text_col))).cast("long")}).select("*", number)
-    taken = mixed(docs, None, weights, share, cap, id_col, source_col, text_col).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    taken = taken.select("*", number).select(*[F.col(c).alias(f"{c}_") for c in (*key, "__k")], F.col("copies").alias("__copies"))
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*key, "__k")]
-    repeated = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
-    return rows.join(taken.where("__copies > 0"), same).select(*[F.col(f"`{c}`") for c in docs.columns], repeated.alias("__again")).drop("__again")
+    """The mix: each row of docs as often as mixed() copies it, with all its columns.
+
+    A row is known by its id and a hash of its columns (but maps), so that which of several rows with one id is
+    taken does not depend on the run. Rows alike in all that are numbered on both sides, and each gets its own
+    copies. Texts are moved once, by that key. Nulls and empty tables are as in mixed(); names may clash.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(*plain).alias("h"))
+    sized = docs.select(key.alias("key"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+    number = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))).alias("k")
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("*", number).alias("a")
+    taken = mixed(sized, F.col("size"), weights, share, cap, "key", "source").select(F.col("doc_id").alias("key"), "copies").select("*", number).where("copies > 0").alias("b")
+    # Numbers are compared as a range: as a key they would have the rows dealt a second time.
+    same = (F.col("a.key") == F.col("b.key")) & F.col("a.k").between(F.col("b.k"), F.col("b.k"))
+    repeated = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("again")
+    return rows.join(taken, same).select("row", repeated).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
