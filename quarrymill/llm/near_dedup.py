@@ -1,10 +1,14 @@
-"""Near-duplicate documents by MinHash of word shingles, for the pipeline.
+"""Near-duplicate documents: SimHash links and MinHash bands give candidates, exact similarity decides. For the pipeline.
 
 A document's set is its shingles of WIDTH words, A-Z lower-cased (a shorter text is its one shingle, a text without
-words the empty one). Signatures, buckets and verification are those of `line_dedup`: documents that agree on one of
-12 bands of 4 values are candidates, and candidates are linked if the exact Jaccard similarity of their sets is 0.8
-or more. A pair of similarity 0.8 is a candidate with probability 0.998, one of 0.9 practically always. The sets of
-one bucket are held by one task.
+words the empty one). Documents are linked if the exact Jaccard similarity of their sets is 0.8 or more.
+
+Candidates come from operator 4 first: fingerprints of these shingles that anchors link at 2 or fewer bits, in groups
+joined by chains of such links. Fingerprints alone can't reach a similarity of 0.8: there two of them differ in 9.7
+of 64 bits on average (the angle of vectors that share 8 / 9 of their shingles), and no covering code has a radius
+that large and anchors few enough to compare at. So documents that agree on one of 12 bands of 4 values of a MinHash
+signature are candidates too; a pair of similarity 0.8 is one with probability 0.998, one of 0.9 practically always.
+Buckets, dealing of large ones and verification are those of `line_dedup`.
 """
 
 from __future__ import annotations
@@ -14,17 +18,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import map_arrow, stored
+from quarrymill.llm import simhash
+from quarrymill.llm.common import fresh, map_arrow, stored
 from quarrymill.llm.components import connected
-from quarrymill.llm.line_dedup import SIMILARITY, _buckets, banded, verified
+from quarrymill.llm.line_dedup import SIMILARITY, banded, candidates, told_apart, verified
 
 WIDTH = 5
-SEED = 42
 ROWS = 64
+BITS = 2
 
 
 def shingles(text: str | None):
-    """The different hashes of the shingles of a text, in ascending order."""
+    """Hashes of the shingles of a text, repeats included; a text without words has the one of the empty shingle."""
     import numpy as np
     import xxhash
 
@@ -35,15 +40,17 @@ def shingles(text: str | None):
         starts.append(at)
         at += len(w) + 1
     ends = [*starts[WIDTH:], at] if len(words) > WIDTH else [at]
-    return np.unique(np.fromiter((digest(joined[s : max(e - 1, 0)], SEED) for s, e in zip(starts or [0], ends)), np.uint64, len(ends)))
+    return np.fromiter((digest(joined[s : max(e - 1, 0)], simhash.SEED) for s, e in zip(starts or [0], ends)), np.dtype("<u8"), len(ends))
 
 
 def shingle_sets(texts: list[str | None]) -> list:
-    return [shingles(t) for t in texts]
+    import numpy as np
+
+    return [np.unique(shingles(t)) for t in texts]
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """doc_id, line_id, bands. rows: doc_id, line_id (a hash of the text), text."""
+    """doc_id, line_no, line_id, proof, fp, bands. rows: these but the last two, and line."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -52,28 +59,33 @@ def _signed(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                sets = shingle_sets(part.column(2).to_pylist())
+                hashes = [shingles(t) for t in part.column(4).to_pylist()]
+                prints = pa.array([simhash.print_of(h) for h in hashes], pa.int64())
+                sets = [np.unique(h) for h in hashes]
                 made = banded(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in made], pa.binary())], ["doc_id", "line_id", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], prints, pa.array([m.tobytes() for m in made], pa.binary())], ["doc_id", "line_no", "line_id", "proof", "fp", "bands"])
 
-    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_id long, bands binary")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long, proof long, fp long, bands binary")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id is not the smallest of its component; rows without id stay.
 
     Components are documents joined by chains of similarity of at least similarity. Null texts are empty, equal
-    texts one by a 64-bit hash; a component of null ids loses nothing. No rows give no rows.
+    texts are one; a component of null ids loses nothing. Rows that repeat the smallest id stay with it. No rows
+    give no rows; other columns, whatever their names, are passed on.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("line_id"), text.alias("line"))
-    signed = stored(_signed(rows))
-    buckets = stored(_buckets(signed.groupBy("line_id").agg(F.first("bands").alias("bands"))))
-    texts = rows.groupBy("line_id").agg(F.first("line").alias("line")).join(buckets.select("line_id").distinct(), "line_id", "left_semi")
-    roots = connected(verified(buckets, texts, similarity, shingle_sets))
-    firsts = signed.groupBy("line_id").agg(F.min("doc_id").alias("first"))
-    linked = firsts.join(roots, firsts["line_id"] == roots["node"]).select("line_id", "root", "first")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("line_no"), F.xxhash64(text).alias("line_id"), F.xxhash64(F.lit(1), text).alias("proof"), text.alias("line"))
+    rows, signed, each = told_apart(rows, _signed, F.min("doc_id").alias("first"), F.first("fp").alias("fp"))
+    chains = connected(simhash.links(each.select("fp").distinct(), BITS)).select(F.col("node").alias("fp"), "root")
+    groups = each.select("fp", "line_id").join(chains, "fp", "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("bucket"), "line_id")
+    members = stored(candidates(each, groups))
+    texts = rows.groupBy("line_id").agg(F.first("line").alias("line")).join(members.select("line_id").distinct(), "line_id", "left_semi")
+    roots = connected(verified(members, texts, similarity, shingle_sets))
+    linked = each.join(roots, each["line_id"] == roots["node"]).select("line_id", "root", "first")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("class")), "root").select("line_id", "class")
-    classes = stored(firsts.join(named, "line_id", "left").select("line_id", F.coalesce("class", "first").alias("class")))
-    gone = signed.join(classes, "line_id").where("doc_id <> class").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    classes = stored(each.join(named, "line_id", "left").select("line_id", F.coalesce("class", "first").alias("class")))
+    gone = fresh(docs, "gone")
+    out = signed.join(classes, "line_id").where("doc_id <> class").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, docs[id_col] == out[gone], "left_anti")

@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import map_arrow, stored, table
+from quarrymill.llm.common import fresh, map_arrow, stored, table
 from quarrymill.llm.components import connected
 
 SEED = 42
@@ -43,6 +43,13 @@ def _bits(hashes, half: float):
     return counts > half
 
 
+def print_of(hashes) -> int:
+    """The fingerprint of shingles with these hashes, as a signed 64-bit integer."""
+    import numpy as np
+
+    return int(np.packbits(_bits(hashes, len(hashes) / 2), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """SimHash of a text as a signed 64-bit integer; a text without words has 0."""
     import numpy as np
@@ -61,7 +68,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
             at += len(w) + 1
         ends = [*starts[width:], at]
         hashes = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends)), np.dtype("<u8"), len(ends))
-    return int(np.packbits(_bits(hashes, len(hashes) / 2), bitorder="little").view("<i8")[0])
+    return print_of(hashes)
 
 
 def _remainders(words):
@@ -171,8 +178,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = WIDTH, id_
 
 def deduplicated(docs: DataFrame, threshold: int = 2, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id is not the smallest of its component; rows without id stay."""
-    gone = near_duplicates(docs, threshold, width, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs, threshold, width, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
