@@ -52,16 +52,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns, whatever their names."""
     body = normalised(F.col(text_col))
-    keepers = classes(docs, id_col, text_col).select(
-        F.col("digest").alias("__digest"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep")
-    )
-    return (
-        docs.withColumns({"__d": F.unhex(F.md5(body)), "__s": F.sha2(body, 256)})
-        .join(keepers, (F.col("__d") == F.col("__digest")) & (F.col("__s") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-        .drop("__d", "__s")
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(body)).alias("d"), F.sha2(body, 256).alias("s"))
+    keepers = classes(docs, id_col, text_col)
+    same = (F.col("d") == F.col("digest")) & (F.col("s") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("keep_id"))
+    return rows.join(keepers, same, "left_semi").select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
