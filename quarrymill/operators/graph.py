@@ -46,7 +46,8 @@ def literal_to_json(texts: pd.Series) -> pd.Series:
 def parsed(text: Column, literal: bool = True) -> Column:
     """A graph from text: a Python literal (in which the word null is None), or JSON; null where it can't be read."""
     source = literal_to_json(null_to_none(strip(text))) if literal else strip(text)
-    return F.from_json(source, GRAPH)
+    read = lambda x: F.when(x["nodes"].isNotNull() | x["edges"].isNotNull() | x["packages"].isNotNull(), x)
+    return F.get(F.transform(F.array(F.from_json(source, GRAPH)), read), F.lit(0))
 
 
 def is_valid(graph: Column) -> Column:
@@ -62,6 +63,13 @@ def is_valid(graph: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def whole(graph: Column) -> Column:
+    """A graph in which null arrays are empty and null elements are not there; a null graph stays null."""
+    some = lambda items: F.filter(F.coalesce(items, F.array()), lambda x: x.isNotNull())
+    packages = F.transform(some(graph["packages"]), lambda p: p.withField("children", some(p["children"])))
+    return F.when(graph.isNotNull(), F.struct(some(graph["nodes"]).alias("nodes"), some(graph["edges"]).alias("edges"), packages.alias("packages")))
+
+
 def _bare(x: Column) -> Column:
     return F.replace(x, F.lit(" "), F.lit(""))
 
@@ -77,7 +85,9 @@ def cleaned(df: DataFrame, graph: str = "graph", lenient: bool = False) -> DataF
     """df with <graph>_clean: ids without spaces, without dangling edges, unknown children and packages that collide with nodes.
 
     A package collides if its id is a node's, or its id without spaces is one; lenient looks at the latter alone.
+    Null arrays of the graph become empty and null elements go, in the graph too.
     """
+    df = df.withColumn(graph, whole(F.col(graph)))
     rows = _parts(df, graph)
     g = F.col(graph)
     child = lambda c: F.array_contains("__ids", c) | (F.array_contains(F.transform(g["packages"], lambda p: p["package_id"]), c) if lenient else F.array_contains("__pids", c))
@@ -160,9 +170,9 @@ def reconvergent(children: dict[str, list[str]]) -> list[str]:
 @F.pandas_udf(T.StructType([T.StructField("recursive", T.IntegerType()), T.StructField("components", T.IntegerType())]))
 def _walked(nodes: pd.Series, edges: pd.Series, packages: pd.Series) -> pd.DataFrame:
     def one(ns, es, ps) -> tuple[int, int]:
-        ids = [n["node_id"] for n in ns] if ns is not None else []
+        ids = [n["node_id"] for n in ns if n["node_id"] is not None] if ns is not None else []
         pairs = [(e["node_id_from"], e["node_id_to"]) for e in es] if es is not None else []
-        down = {p["package_id"]: list(p["children"]) for p in ps} if ps is not None else {}
+        down = {p["package_id"]: list(p["children"]) for p in ps if p["package_id"] is not None} if ps is not None else {}
         return len(reconvergent(down)), components(ids, pairs)
 
     return pd.DataFrame([one(*x) for x in zip(nodes, edges, packages, strict=True)], columns=["recursive", "components"])
@@ -226,6 +236,19 @@ def checked(df: DataFrame, graph: str = "graph", code: str = "code", warnings: b
     return rows.withColumn("messages", messages).drop("__ids", "__pids", "__pairs", "__all", "__walk")
 
 
+def from_text(df: DataFrame, text: str, code: str = "code", dialect: str = "plantuml", outside_members: bool = True, hide_empty_members: bool = True, literal: bool = True) -> DataFrame:
+    """df with graph, graph_clean, messages and diagram, from a column of texts of graphs.
+
+    A null text, or one that can't be read, has no graph, no messages and no diagram. A graph that is not valid, or
+    that the dialect can't draw, has messages and no diagram.
+    """
+    from quarrymill.operators.render import rendered
+
+    rows = checked(df.withColumn("graph", parsed(F.col(text), literal)), "graph", code)
+    drawn = rendered(F.col("graph_clean"), dialect, outside_members, hide_empty_members)
+    return rows.withColumn("diagram", F.when(F.col("graph").isNotNull() & is_valid(F.col("graph_clean")), drawn))
+
+
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, node_id, root for graphs in long form: the smallest node of each component. nodes: graph_id, node_id; edges: graph_id, a, b.
 
