@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,17 @@ KEYBOARD = r"""./<>?;:"'`!@#$%^&*()[]{}_+=|\-~,一"""
 HEADERS = ("#!", r"<\?php")
 
 
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    """Text without white space, as SPACE has it, at both ends."""
+    return F.btrim(text, F.lit(_BLANKS))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip_leading_comments(text: Column, language: Column, most: int = 50, line_comments: str = "rest") -> Column:
@@ -49,23 +60,26 @@ def strip_leading_comments(text: Column, language: Column, most: int = 50, line_
     language without patterns comes back as it is. line_comments: "rest" has a line comment reach to the end of
     the text, "single" to the end of its line.
     """
-    body = strip(text)
-    headed = F.lit(False)
-    for h in HEADERS:
-        headed = headed | body.startswith(h)
-    end = F.instr(body, "\n")
-    head = F.when(headed, strip(F.substring_index(body, "\n", 1))).otherwise("")
-    rest = F.when(headed, strip(F.substring(body, end + 1, F.length(body)))).otherwise(body)
     flag = "(?s)" if line_comments == "rest" else ""
     by_patterns: dict[tuple[str, ...], list[str]] = {}
     for name, patterns in LEADING_COMMENTS.items():
         by_patterns.setdefault(patterns, []).append(name)
-    bare = F.lit(None).cast("string")
-    for patterns, names in by_patterns.items():
-        one = "|".join(patterns)
-        bare = F.when(language.isin(names), F.regexp_replace(rest, rf"{flag}^(?:(?:{one}){WS}*){{1,{most}}}", "")).otherwise(bare)
-    known = language.isin(list(LEADING_COMMENTS))
-    return F.when(~known | language.isNull(), text).when(headed & (end == 0), body).otherwise(F.concat(head, F.lit("\n"), bare))
+
+    def opened(rest: Column) -> Column:
+        bare = F.lit(None).cast("string")
+        for patterns, names in by_patterns.items():
+            one = "|".join(patterns)
+            bare = F.when(language.isin(names), F.regexp_replace(rest, rf"{flag}^(?:(?:{one}){WS}*){{1,{most}}}", "")).otherwise(bare)
+        return bare
+
+    def of(body: Column) -> Column:
+        headed = reduce(lambda a, h: a | body.startswith(h), HEADERS, F.lit(False))
+        end = F.instr(body, "\n")
+        head = F.when(headed, strip(F.substring_index(body, "\n", 1))).otherwise("")
+        rest = F.when(headed, strip(F.substring(body, end + 1, F.length(body)))).otherwise(body)
+        return F.when(headed & (end == 0), body).otherwise(F.concat(head, F.lit("\n"), _once(rest, opened)))
+
+    return F.when(language.isin(list(LEADING_COMMENTS)), _once(strip(text), of)).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
@@ -116,7 +130,7 @@ def split_repo_url(url: Column) -> Column:
     return F.struct(git.alias("git_url"), rev.alias("rev"), F.get(parts, F.size(parts) - 2).alias("maintainer"), F.get(parts, F.size(parts) - 1).alias("name"))
 
 
-def tagged_output(text: Column, tags: tuple[str, ...] = ("candidates", "final_output"), first_closed: bool = True) -> Column:
+def tagged_output(text: Column, tags: tuple[str, ...] = ("candidates", "final_output")) -> Column:
     """What the last tag of a chain holds, stripped; null if any is missing or it is empty.
 
     Each step takes the text after the last opening tag and needs the closing tag in what follows; the output ends

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 64
+
+
 def all_of(predicates: dict[str, Column]) -> Column:
     """Conjunction; null counts as false."""
     return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(False)) for p in predicates.values()], F.lit(True))
@@ -26,8 +29,9 @@ def reject_counts(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
 
 def large_groups(df: DataFrame, key: Sequence[str], least: int) -> DataFrame:
     """Rows of groups of at least least rows. Small keys are anti-joined, so hot groups are not moved to one task."""
-    small = df.groupBy(*key).count().where(F.col("count") < least).drop("count")
-    return df.join(small, list(key), "left_anti")
+    named = {k: f"__small_{i}" for i, k in enumerate(key)}
+    small = df.groupBy(*key).count().where(F.col("count") < least).select(*[F.col(k).alias(n) for k, n in named.items()])
+    return df.join(small, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]), "left_anti")
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -63,9 +67,15 @@ def seeded(seed: int, key: Column) -> Column:
 
 
 def capped_sample(df: DataFrame, stratum: Sequence[str], key: str, cap: Column | int, seed: int) -> DataFrame:
-    """Up to cap random rows of each stratum, the same in every run. key identifies a row."""
-    order = Window.partitionBy(*stratum).orderBy(seeded(seed, F.col(key)), F.col(key))
-    return df.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= cap).drop("__rank")
+    """Up to cap random rows of each stratum, the same in every run. key identifies a row.
+
+    A stratum is first cut to cap in each of BUCKETS parts, so that no task sorts a whole one.
+    """
+    order = [seeded(seed, F.col(key)), F.col(key)]
+    for part in ([F.pmod(F.xxhash64(key), F.lit(BUCKETS))], []):
+        rank = F.row_number().over(Window.partitionBy(*stratum, *part).orderBy(*order))
+        df = df.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank")
+    return df
 
 
 def priority_cap(target: int, language: Column, languages: int, priority: Sequence[str]) -> Column:
@@ -113,3 +123,26 @@ def unpivot_versions(df: DataFrame, columns: dict[str, str], value: str, failed:
     none = F.array(F.struct(F.lit(None).cast("string").alias("version"), F.lit(None).cast(df.schema[next(iter(columns.values()))].dataType).alias(value)))
     rows = df.withColumn("__v", F.explode(F.when(failed, none).otherwise(each)))
     return rows.select(*[c for c in df.columns if c not in columns.values()], "__v.version", f"__v.{value}")
+
+
+def exploded_at_least(df: DataFrame, items: str, least: int, names: str = "all_names") -> DataFrame:
+    """A row for each element of array<struct<name,size>> of size least or more: name, size, and all names of its row."""
+    rows = df.withColumn(names, F.transform(items, lambda x: x["name"])).withColumn("__x", F.explode(items))
+    return rows.where(F.col("__x")["size"] >= least).select(*[c for c in df.columns if c != items], names, F.col("__x")["name"].alias("name"), F.col("__x")["size"].alias("size"))
+
+
+def without_positions(df: DataFrame, position: str, positions: list[int]) -> DataFrame:
+    return df.where(~F.col(position).isin(positions))
+
+
+def merged_versions(df: DataFrame, position: str, version: str, merged: dict[int, list[int]], dropped: list[int]) -> DataFrame:
+    """Rows that are not dropped, with possible_version: the versions of the positions merged into theirs, else their own.
+
+    merged is small and given by hand; versions come by a join on position, dropped rows' among them.
+    """
+    of = F.create_map(*[x for k, v in merged.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if merged else F.create_map().cast("map<int,array<int>>")
+    kept = without_positions(df, position, dropped).withColumn("__from", F.coalesce(F.try_element_at(of, F.col(position).cast("int")), F.array(F.col(position).cast("int"))))
+    wanted = sorted({x for v in merged.values() for x in v})
+    others = df.where(F.col(position).isin(wanted)).select(F.col(position).cast("int").alias("p"), F.col(version).alias("v"))
+    few = others.agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("__of"))  # one row, of positions given by hand
+    return kept.crossJoin(F.broadcast(few)).withColumn("possible_version", F.transform("__from", lambda p: F.coalesce(F.try_element_at("__of", p), F.col(version)))).drop("__from", "__of")

@@ -33,14 +33,46 @@ def kappa(df: DataFrame, first: str, second: str, alpha: float = 0.05) -> DataFr
         F.sum(F.col("p") * F.pow(F.col("pi") + F.col("pj"), 2)).alias("q"),
     ).crossJoin(both.agg(F.sum(F.col("pi") * F.col("pj")).alias("pe")))  # one row each
     po, pe = F.col("po"), F.col("pe")
-    k = (po - pe) / (1 - pe)
-    var = (po * (1 - po) / (1 - pe) ** 2 + 2 * (1 - po) * (2 * po * pe - F.col("d")) / (1 - pe) ** 3 + (1 - po) ** 2 * (F.col("q") - 4 * pe**2) / (1 - pe) ** 4) / F.col("n")
+    k = F.try_divide(po - pe, 1 - pe)
+    off = F.nullif(1 - pe, F.lit(0.0))
+    var = (po * (1 - po) / off**2 + 2 * (1 - po) * (2 * po * pe - F.col("d")) / off**3 + (1 - po) ** 2 * (F.col("q") - 4 * pe**2) / off**4) / F.col("n")
     half = F.sqrt(F.greatest(var, F.lit(0.0))) * NormalDist().inv_cdf(1 - alpha / 2)
-    certain = F.abs(1 - pe) <= 1e-5 + 1e-8
-    value = lambda x: F.when(certain, F.lit(None).cast("double")).otherwise(x)
+    # Close to certain agreement by chance the interval is the value itself; at it there is no value.
+    half = F.when(F.abs(1 - pe) <= 1e-5 + 1e-8, F.lit(0.0)).otherwise(half)
+    value = lambda x: F.when(pe != 1, x)
     return sums.select("n", value(k).alias("kappa"), value(F.greatest(k - half, F.lit(-1.0))).alias("low"), value(F.least(k + half, F.lit(1.0))).alias("high"))
 
 
+RATER_KEYS = ("sample_id", "task_id", "version", "repo", "node_id")
+
+
+def finalized(annotations: DataFrame, annotator: str, tasks: Column | list | None = None) -> DataFrame:
+    """Annotations of one annotator that are finalized, of these tasks (default: all)."""
+    rows = annotations.where((F.col("annotator") == annotator) & (F.col("status") == "Finalized"))
+    return rows if tasks is None else rows.where(F.col("task_id").isin(tasks))
+
+
+def rated_items(annotations: DataFrame) -> DataFrame:
+    """A row for each item of each label: keys of RATER_KEYS and label. nodes: map<label, array of items>; labels without items give none."""
+    labels = annotations.select(*RATER_KEYS[:-1], F.explode("nodes").alias("label", "items"))
+    return labels.select(*RATER_KEYS[:-1], F.explode("items").alias("node_id"), "label")
+
+
+def rated_by_both(annotations: DataFrame, first: str, second: str, tasks: list | None = None) -> DataFrame:
+    """Items that two annotators labelled: the keys, label_first, label_second. kappa() takes these."""
+    one, two = (rated_items(finalized(annotations, a, tasks)) for a in (first, second))
+    return one.withColumnRenamed("label", "label_first").join(two.withColumnRenamed("label", "label_second"), list(RATER_KEYS))
+
+
+def split_share(graphs: DataFrame, messages: str = "messages") -> DataFrame:
+    """One row: the share of graphs with several components, by their messages; null without graphs."""
+    return graphs.agg(F.avg(F.exists(messages, lambda m: m["rule"] == "R24").cast("double")).alias("share"))
+
+
+def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
+    return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_counts(nodes: Column, labels: tuple[str, ...] = LABELS) -> list[Column]:
     """From map<label, array of items>: a column per label with its number of items; null without that label."""
     return [F.size(F.element_at(nodes, label)).cast("long").alias(label) for label in labels]

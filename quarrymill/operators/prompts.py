@@ -129,3 +129,35 @@ def last_tag(tags: tuple[str, ...]) -> Callable[[str], str | None]:
         return re.sub(r"\A\s+|\s+\Z", "", text.rpartition(f"</{tags[-1]}>")[0]) or None
 
     return extract
+
+
+# Fields of a structured answer, and the versions they stand for.
+VERSION_FIELDS = {"minimal_version": "minimal", "medium_version": "medium", "full_version": "full"}
+
+
+def diagram_rows(df: DataFrame, output: str) -> DataFrame:
+    """Answers, Python literals with text_answer and a field for each version, as a row for each version.
+
+    The columns of df but output, then version, diagram, text_answer and output. An answer that can't be read, or
+    lacks text_answer, is one row with nulls and its output; rows of answers that can be read have no output.
+    """
+    from quarrymill.functions.text import null_to_none, strip
+    from quarrymill.operators.graph import literal_to_json
+
+    fields = ", ".join(f"{f}: STRING" for f in ("text_answer", *VERSION_FIELDS))
+    answer = F.from_json(literal_to_json(null_to_none(strip(F.col(output)))), f"STRUCT<{fields}>")
+    rows = df.withColumn("__a", answer)
+    failed = F.col("__a")["text_answer"].isNull()
+    version = lambda v, d: F.struct(F.lit(v).cast("string").alias("version"), d.cast("string").alias("diagram"))
+    each = F.array(*[version(v, F.col("__a")[f]) for f, v in VERSION_FIELDS.items()])
+    rows = rows.withColumn("__v", F.explode(F.when(failed, F.array(version(None, F.lit(None)))).otherwise(each)))
+    kept = [c for c in df.columns if c != output]
+    return rows.select(*kept, "__v.version", "__v.diagram", F.col("__a")["text_answer"].alias("text_answer"), F.when(failed, F.col(output)).alias("output"))
+
+
+def question_rows(df: DataFrame, stratum: str, key: str, n: int, seed: int, prompt: Prompt, complete: Complete, config: EngineConfig) -> DataFrame:
+    """A sample of df in proportion to strata, with user_queries (extracted from the answer) and generated_output (the whole answer)."""
+    from quarrymill.operators.curate import quota_sample
+
+    rows = generated(quota_sample(df, stratum, key, n, seed), prompt, complete, config)
+    return rows.select(*df.columns, F.col("extracted_output").alias("user_queries"), F.col("raw_output").alias("generated_output"))

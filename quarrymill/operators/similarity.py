@@ -62,18 +62,13 @@ def representatives(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.groupBy("bag").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies", "bag")
 
 
-def elements(bags: DataFrame) -> DataFrame:
-    """id, n, e: a row per element. bags: id, bag (sorted)."""
-    seen = F.transform("bag", lambda x, i: F.concat_ws(" ", x, (i - F.array_position("bag", x) + 1).cast("string")))
-    return bags.select("id", F.size("bag").alias("n"), F.explode(seen).alias("e"))
-
-
 def ordered(bags: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
     """id, n, set: elements of each bag, those that fewest bags of frequency (default: these) hold first."""
     rows = bags.select("id", F.size("bag").alias("n"), F.explode("bag").alias("token"))
     counted = rows.groupBy("id", "n", "token").agg(F.count(F.lit(1)).alias("c"))
     rows = counted.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda i: F.concat_ws(" ", F.col("token"), i.cast("string")))).alias("e"))
-    often = (rows.groupBy("e").agg(F.count(F.lit(1)).alias("df")) if frequency is None else frequency).withColumnRenamed("e", "e2")
+    # Cut, so that both sides of the join are shuffled for it and Spark can split an element that most bags hold.
+    often = (cut(rows.groupBy("e").agg(F.count(F.lit(1)).alias("df"))) if frequency is None else frequency).withColumnRenamed("e", "e2")
     ranked = rows.join(often, rows["e"] == often["e2"], "left").select("id", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "e").alias("x"))
     return ranked.groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("set"))
 
@@ -112,6 +107,7 @@ def _matches(queries: DataFrame, index: DataFrame, measure: str, threshold: floa
 def query_index(queries: DataFrame, index: DataFrame, measure: str = "jaccard", threshold: float = 0.9) -> DataFrame:
     """query_id, match_id, similarity for bags of queries (id, bag) against an index. Tokens unknown to it count as rarest."""
     _checked(measure, threshold)
+    index = cut(index)
     frequency = index.select(F.explode("set").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df"))
     # One order for both sides: the index is ordered by its own frequencies, which are the ones used here.
     found = _matches(ordered(queries, frequency), index, measure, threshold, None)

@@ -160,3 +160,33 @@ w(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN le
 gone AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM w ORDER BY k DESC LIMIT 1))
 SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT id FROM gone) AND doc_id NOT IN (SELECT id FROM g WHERE id <> rep)""",
 }
+_RATED = """r AS (SELECT DISTINCT l_orderkey % 300 AS sample, l_returnflag AS task, l_linestatus AS version, CASE WHEN l_linenumber % 2 = 0 THEN 'first' ELSE 'second' END AS annotator,
+['Sufficiency', 'Completeness', 'Verbosity', 'Hallucinations'][l_suppkey % 4 + 1] AS label, l_partkey % 10 AS item FROM lineitem WHERE l_linenumber <> 7 AND l_returnflag IN ('A', 'N')),
+both_rated AS (SELECT a.label AS quality, b.label AS toxic FROM r a JOIN r b USING (sample, task, version, item) WHERE a.annotator = 'first' AND b.annotator = 'second')"""
+_CHECKED = SQL["graph_check"].removesuffix("SELECT k AS graph_id, rule, severity, number::BIGINT AS number FROM z WHERE number > 0")
+_COUNTED = """, every AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), counted AS (SELECT every.k, coalesce(low, 0) AS low, coalesce(med, 0) AS med, coalesce(n, 0) AS n FROM every LEFT JOIN (
+SELECT k, count(*) AS n, arg_max(number, ord) FILTER (severity = 'Low') AS low, arg_max(number, ord) FILTER (severity = 'Medium') AS med FROM (
+  SELECT *, list_position(['R1', 'R2', 'R3', 'R5', 'R9', 'R10', 'R11', 'R12', 'R14', 'R19', 'R20', 'R22', 'R22m', 'R24'], rule) AS ord FROM z WHERE number > 0) WHERE ord IS NOT NULL GROUP BY k) x USING (k))"""
+SQL |= {
+    "exploded_sizes": """SELECT l_orderkey, 'L' || l_linenumber AS name, l_quantity::BIGINT AS size, all_names FROM lineitem JOIN (
+SELECT l_orderkey, string_agg('L' || l_linenumber, ',' ORDER BY l_linenumber) AS all_names FROM lineitem GROUP BY l_orderkey) USING (l_orderkey) WHERE l_quantity::BIGINT >= 45""",
+    "rater_pairs": f"WITH {_RATED} SELECT quality AS label_first, toxic AS label_second, count(*) AS n FROM both_rated GROUP BY ALL",
+    "rater_kappa": SQL["kappa_ci"].replace("WITH c AS", f"WITH {_RATED}, c AS", 1).replace("FROM labels", "FROM both_rated"),
+    "split_share": _CHECKED + "SELECT round(count(DISTINCT z.k) FILTER (rule = 'R24') / (SELECT count(DISTINCT l_orderkey) FROM lineitem)::DOUBLE, 9) AS share FROM z",
+    "status_counts": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+    "merged_versions": """SELECT s_suppkey::INT AS at, CASE s_suppkey WHEN 3 THEN 'v2,v3' WHEN 7 THEN 'v5,v6,v7' ELSE 'v' || s_suppkey END AS possible_version FROM supplier WHERE s_suppkey NOT IN (2, 5, 6, 9)""",
+    "graph_texts": _CHECKED
+    + _COUNTED.lstrip()
+    + """ SELECT k AS graph_id, NOT (k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0) AS drawn, CASE WHEN k % 5 = 0 OR (k % 7 <> 0 AND k % 11 = 0) THEN 0 ELSE n END AS n_messages FROM counted""",
+    "diagram_rows": """WITH b AS (SELECT item_id, item_id % 4 <> 0 AS ok FROM benchmark) SELECT item_id, 'minimal' AS version, 'm' AS diagram, 'a' || item_id AS text_answer, NULL::VARCHAR AS output FROM b WHERE ok
+UNION ALL SELECT item_id, 'medium', 'n' || item_id, 'a' || item_id, NULL FROM b WHERE ok UNION ALL SELECT item_id, 'full', NULL, 'a' || item_id, NULL FROM b WHERE ok
+UNION ALL SELECT item_id, NULL, NULL, NULL, 'no answer' FROM b WHERE NOT ok""",
+    "question_rows": f"""WITH s AS ({SQL["quota_sample"]}), c AS (SELECT s.doc_id, s.lang, string_split(coalesce(regexp_extract(text, '^\\S+(?: \\S+)?'), ''), ' ') AS w FROM s JOIN documents USING (doc_id))
+SELECT doc_id, lang, nullif(w[-1], '') AS user_queries, md5('<candidates>' || w[1] || '</candidates><final_output> ' || w[-1] || ' </final_output>') AS generated_output FROM c""",
+    "severity_rollup": _CHECKED
+    + _COUNTED
+    + """, nodes_of AS (SELECT k, count(*) AS nodes FROM nodes GROUP BY k), j AS (SELECT low, med, (low > 0)::INT AS ulow, (med > 0)::INT AS umed, nodes FROM counted JOIN nodes_of USING (k)),
+m AS (SELECT avg(low) AS low, avg(med) AS med, avg(ulow) AS ulow, avg(umed) AS umed, avg(nodes) AS nodes, avg(low / nodes::DOUBLE) AS mlow, avg(med / nodes::DOUBLE) AS mmed FROM j)
+SELECT 'last None' AS kind, round(low, 6) AS "Low", round(med, 6) AS "Medium", 0.0::DOUBLE AS "High" FROM m UNION ALL SELECT 'unique None', round(ulow, 6), round(umed, 6), 0.0 FROM m
+UNION ALL SELECT 'last micro', round(low / nodes, 6), round(med / nodes, 6), 0.0 FROM m UNION ALL SELECT 'last macro', round(mlow, 6), round(mmed, 6), 0.0 FROM m""",
+}

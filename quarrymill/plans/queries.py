@@ -248,6 +248,88 @@ def rendering(dialect: str):
     return run
 
 
+def exploded_sizes(spark, sf_dir):
+    """Line items of an order as languages with sizes, of which the large ones are kept one by one."""
+    li = table(spark, sf_dir, "lineitem")
+    item = F.struct(F.concat(F.lit("L"), "l_linenumber").alias("name"), F.col("l_quantity").cast("long").alias("size"))
+    rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("languages"))
+    return curate.exploded_at_least(rows, "languages", 45).select("l_orderkey", "name", "size", F.array_join("all_names", ",").alias("all_names"))
+
+
+def annotations(spark, sf_dir) -> DataFrame:
+    """Line items as labelled items of annotators: an annotator's labels of a sample are one row."""
+    li = table(spark, sf_dir, "lineitem")
+    label = F.element_at(F.array(*[F.lit(x) for x in metrics.LABELS]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    rows = li.select(
+        (F.col("l_orderkey") % 300).alias("sample_id"),
+        F.col("l_returnflag").alias("task_id"),
+        F.col("l_linestatus").alias("version"),
+        F.lit("o/r").alias("repo"),
+        F.when(F.col("l_linenumber") % 2 == 0, "first").otherwise("second").alias("annotator"),
+        F.when(F.col("l_linenumber") == 7, "Draft").otherwise("Finalized").alias("status"),
+        label.alias("label"),
+        (F.col("l_partkey") % 10).alias("item"),
+    )
+    key = ["sample_id", "task_id", "version", "repo", "annotator", "status"]
+    each = rows.groupBy(*key, "label").agg(F.collect_set("item").alias("items"))
+    return each.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("label", "items"))).alias("nodes"))
+
+
+def rater_pairs(spark, sf_dir):
+    both = metrics.rated_by_both(annotations(spark, sf_dir), "first", "second", ["A", "N"])
+    return both.groupBy("label_first", "label_second").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rater_kappa(spark, sf_dir):
+    both = metrics.rated_by_both(annotations(spark, sf_dir), "first", "second", ["A", "N"])
+    return metrics.kappa(both, "label_first", "label_second").select("n", *[F.round(c, 9).alias(c) for c in ("kappa", "low", "high")])
+
+
+def split_share(spark, sf_dir):
+    return metrics.split_share(graph.checked(graphs(spark, sf_dir))).select(F.round("share", 9).alias("share"))
+
+
+def status_counts(spark, sf_dir):
+    return metrics.status_counts(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+def merged_versions(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("at"), F.concat(F.lit("v"), "s_suppkey").alias("version"))
+    out = curate.merged_versions(rows, "at", "version", {3: [2, 3], 7: [5, 6, 7]}, [2, 5, 6, 9])
+    return out.select("at", F.array_join("possible_version", ",").alias("possible_version"))
+
+
+def graph_texts(spark, sf_dir):
+    """Graphs as text, some of them broken, read, checked and drawn: what came of each."""
+    rows = graphs(spark, sf_dir).withColumn("text", F.to_json("graph", {"ignoreNullFields": "false"}))
+    broken = F.when(F.col("graph_id") % 5 == 0, F.substring("text", 1, 40)).when(F.col("graph_id") % 7 == 0, F.regexp_replace("text", "public", "open")).when(F.col("graph_id") % 11 != 0, F.col("text"))
+    out = graph.from_text(rows.select("graph_id", "code", broken.alias("text")), "text", literal=False)
+    return out.select("graph_id", F.col("diagram").isNotNull().alias("drawn"), F.size("messages").cast("long").alias("n_messages"))
+
+
+def diagram_rows(spark, sf_dir):
+    """Answers of a model read as three versions of a diagram, a row each; answers that can't be read keep their output."""
+    config = prompts.EngineConfig()
+    rows = prompts.generated(table(spark, sf_dir, "benchmark"), prompts.Prompt(None, "{item_id} {text}"), _diagrams, config)
+    out = prompts.diagram_rows(rows.select("item_id", "raw_output"), "raw_output")
+    return out.select("item_id", "version", "diagram", "text_answer", "output")
+
+
+def _diagrams(chat: list[dict], params: dict) -> tuple[str, int]:
+    item = int(chat[-1]["content"].split(" ", 1)[0])
+    if item % 4 == 0:
+        return "no answer", 2
+    return f"{{'text_answer': 'a{item}', 'minimal_version': 'm', 'medium_version': 'n{item}', 'full_version': None}}", 5
+
+
+def question_rows(spark, sf_dir):
+    """A sample in proportion to languages, with the questions that a model's answer ends with."""
+    config = prompts.EngineConfig(extract=prompts.last_tag(("candidates", "final_output")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce(F.regexp_extract("text", r"^\S+(?: \S+)?", 0), F.lit("")).alias("code"))
+    rows = prompts.question_rows(docs, "lang", "doc_id", 100, 1111, prompts.Prompt(None, "{code}"), _stand_in, config)
+    return rows.select("doc_id", "lang", "user_queries", F.md5("generated_output").alias("generated_output"))
+
+
 def literal_parse(spark, sf_dir):
     text = F.concat(F.lit("{'nodes': [], 'edges': [{'node_id_from': 'a', 'node_id_to': null, 'description': '"), F.col("event_type"), F.lit("'}], 'packages': []}"))
     g = graph.parsed(text)

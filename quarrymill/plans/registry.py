@@ -38,6 +38,15 @@ QUERIES = {
     "kappa_ci": q.kappa_ci,
     "prf_micro": q.prf_micro,
     "prf_macro": q.prf_macro,
+    "exploded_sizes": q.exploded_sizes,
+    "rater_pairs": q.rater_pairs,
+    "rater_kappa": q.rater_kappa,
+    "split_share": q.split_share,
+    "status_counts": q.status_counts,
+    "merged_versions": q.merged_versions,
+    "graph_texts": q.graph_texts,
+    "diagram_rows": q.diagram_rows,
+    "question_rows": q.question_rows,
     "graph_check": q.graph_check,
     "graph_components": q.graph_components,
     "severity_rollup": q.severity_rollup,

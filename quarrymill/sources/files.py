@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import shutil
 import subprocess
 import time
 from collections.abc import Iterator, Sequence
@@ -50,7 +52,10 @@ def decoded(content: Column) -> Column:
 
 def source_files(spark: SparkSession, root: str, extensions: DataFrame) -> DataFrame:
     """code, path, project_root, language of all files below root/<owner>/<name> whose last extension is known. A file whose name only starts with a dot has none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # Only files of known extensions are listed and read; the map is small, a row for each extension.
+    ends = sorted({r[0].removeprefix(".") for r in extensions.select("extension").distinct().collect()})
+    glob = "*.{" + ",".join(re.sub(r"([\\*?\[\]{},^])", r"\\\1", e) for e in ends) + "}" if ends else "*.{}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     name = F.element_at(F.split("path", "/"), -1)
     known = files.withColumn("extension", F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)).join(extensions, "extension")
     below = F.substring_index("path", root.rstrip("/") + "/", -1)
@@ -67,15 +72,19 @@ def cloned(repos: DataFrame, folder: str, retries: int = 2, force: bool = False,
             out = []
             for r in frame.itertuples():
                 target = f"{folder}/{r.maintainer}/{r.name}"
+                if {"..", "."} & set(f"{r.maintainer}/{r.name}".split("/")):
+                    out.append(("Error", "the folder would lie elsewhere"))
+                    continue
                 if os.path.isdir(f"{target}/.git") and not force:
                     out.append(("Done", "ok"))
                     continue
                 rev = r.rev if isinstance(r.rev, str) else None
                 for attempt in range(retries + 1):
                     try:
-                        subprocess.run(["git", "clone", *([] if rev else ["--depth", "1"]), r.git_url, target], check=True, capture_output=True, timeout=3600)
+                        shutil.rmtree(target, ignore_errors=True)  # what an earlier try, or an older clone, left
+                        subprocess.run(["git", "clone", *([] if rev else ["--depth", "1"]), "--", r.git_url, target], check=True, capture_output=True, timeout=3600)
                         if rev:
-                            subprocess.run(["git", "-C", target, "checkout", rev], check=True, capture_output=True)
+                            subprocess.run(["git", "-C", target, "checkout", "--end-of-options", rev], check=True, capture_output=True)
                         out.append(("Done", "ok"))
                         break
                     except Exception as e:  # noqa: BLE001  a repository that fails has a status of its own
@@ -94,6 +103,19 @@ def write_csv_with_index(df: DataFrame, path: str, order: Sequence) -> None:
     df.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("index"), "*").write.csv(path, header=True)
 
 
+def write_json_array(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One JSON array over all part files, joined in order of their names: a row a line, nulls written out."""
+    from quarrymill.plans.storage import cut
+
+    rows = cut(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"), F.monotonically_increasing_id().alias("at")))
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    if first is None:
+        lines = df.sparkSession.createDataFrame([("[]",)], "json string").coalesce(1)
+    else:
+        lines = rows.select(F.concat(F.when(F.col("at") == first, "[").otherwise(""), "json", F.when(F.col("at") == last, "]").otherwise(",")))
+    lines.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
 def report(df: DataFrame, digits: int = 3) -> str:
     """A small table as Markdown, numbers rounded."""
     rows = df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]).collect()

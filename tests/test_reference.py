@@ -251,3 +251,93 @@ def test_files(spark, tmp_path):
     files.write_csv_with_index(spark.range(3), f"{tmp_path}/csv", [F.desc("id")])
     assert sorted((r["index"], r["id"]) for r in files.csv(spark, f"{tmp_path}/csv").collect()) == [("0", "2"), ("1", "1"), ("2", "0")]
     assert files.report(spark.range(1).select((F.col("id") + 0.12345).alias("x"))) == "| x |\n|---|\n| 0.123 |"
+
+
+def _node(i, kind="class", name=None, owner=None):
+    return (kind, name or i, i, "", "public", "int", None, owner)
+
+
+def test_every_rule_fires(spark):
+    """A small graph for each rule; what each one counts is worked out by hand."""
+    e = lambda a, b: (a, b, None)
+    cases = {
+        "R4": (([_node("a"), _node("b")], [e("a", "b")], [("P", ["a"], None), ("P", ["b"], None), ("a", ["b"], None)]), 2),
+        "R6": (([_node("a")], [], []), 1),
+        "R7": (([_node("a")], [], []), 1),
+        "R8": (([_node("a"), _node("b")], [], []), 1),
+        "R13": (([_node("a"), _node("m", "method", owner="a")], [e("m", "a")], []), 1),
+        "R15": (([_node("a", name="~a"), _node("b", name="ok-b")], [e("a", "b")], []), 1),
+        "R16": (([_node("~a"), _node("b")], [e("~a", "b")], []), 1),
+        "R17": (([_node("a")], [], [("~P", ["a"], None), ("/Q", ["a"], None)]), 1),
+        "R21": (([_node("a")], [], [("P", [], None), ("Q", None, None), ("R", [None], None)]), 3),
+        "R22w": (([_node("a")], [], [("P", ["a"], None), ("Q", ["a"], None), ("R", ["a"], None)]), 2),
+        "R22m": (([_node("a"), _node("m", "method", owner="a"), _node("n", "method", owner="a")], [e("a", "m")], [("P", ["a", "n"], None), ("Q", ["m"], None)]), 1),
+        "R23": (([_node("a")], [], [("P", ["Q"], None), ("Q", ["P", "a"], None)]), 1),
+    }
+    rows = spark.createDataFrame([(r, g, "a b m n") for r, (g, _) in cases.items()], f"rule string, graph {graph.GRAPH}, code string")
+    got = {r["rule"]: {m["rule"]: m["number"] for m in r["messages"]} for r in graph.checked(rows, warnings=True).collect()}
+    assert {r: got[r].get(r) for r in cases} == {r: n for r, (_, n) in cases.items()}
+
+
+def test_nulls_and_depth(spark):
+    deep = [(f"P{i}", [f"P{i + 1}"] if i < 1999 else ["a"], None) for i in range(2000)]
+    graphs = [([_node("a"), None], [("a", "a", None), None], [("P", None, None), None]), (None, None, None), ([_node("a")], [], deep), ([_node("a")], [], list(reversed(deep))), None]
+    df = spark.createDataFrame([(i, g, "a") for i, g in enumerate(graphs)], f"id int, graph {graph.GRAPH}, code string")
+    rows = graph.checked(df, warnings=True).withColumn("text", render.rendered(F.col("graph_clean"))).orderBy("id").collect()
+    assert len(rows) == 5 and [r["text"] is None for r in rows] == [False, False, False, False, True]
+    assert "class a {" in rows[0]["text"] and "package P {" in rows[0]["text"] and rows[2]["text"] == rows[3]["text"]
+    assert rows[2]["text"].count("package ") == 2000 and rows[2]["text"].count("class a") == 1
+
+
+def test_drawn_packages_own_each_node_once():
+    rng = random.Random(4)
+    for _ in range(300):
+        names = [f"p{i}" for i in range(rng.randint(1, 6))]
+        inside = {p: dict.fromkeys(rng.choice([*names, "a", "b", "c"]) for _ in range(rng.randint(0, 4))) for p in names}
+        prints, roots = render.owned(inside, {"a", "b", "c"})
+        listed = [c for p in prints for c, _ in prints[p]]
+        assert set(prints) == set(names) and len(listed) == len(set(listed)) and not set(roots) & set(listed)
+        assert {c for c in listed if c in "abc"} == {c for children in inside.values() for c in children if c in "abc"}
+        assert set(roots) | {c for c in listed if c in prints} == set(names)  # each package once, a cycle broken where the walk began
+
+
+def test_text_to_diagram(spark):
+    good = "{'nodes': [{'type': 'class', 'name': 'a', 'node_id': 'a', 'description': '', 'visibility': 'public', 'return_type': null, 'params': null, 'source_class_id': null}], 'edges': [], 'packages': []}"
+    texts = [good, good.replace("public", "open"), "no graph", None]
+    rows = graph.from_text(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "id int, text string, code string"), "text").orderBy("id").collect()
+    assert [r["diagram"] is not None for r in rows] == [True, False, False, False]
+    assert [[m["rule"] for m in r["messages"]] for r in rows] == [["R6", "R8"], ["R6", "R8"], [], []]
+
+
+def test_json_array(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f'"{i}"') for i in range(40)], "i int, t string")
+    for name, part in (("some", df.repartition(5)), ("none", df.limit(0)), ("one", df.limit(1))):
+        files.write_json_array(part, f"{tmp_path}/{name}")
+        whole = "".join(f.read_text() for f in sorted((tmp_path / name).glob("part-*")))
+        assert sorted(map(str, json.loads(whole))) == sorted(str(r.asDict()) for r in part.collect())
+    with pytest.raises(Exception, match="exists"):
+        files.write_json_array(df, f"{tmp_path}/some")
+
+
+def test_clones(spark, tmp_path):
+    import subprocess
+
+    source = tmp_path / "source"
+    for args in (["init", "-q", str(source)], ["-C", str(source), "-c", "user.name=a", "-c", "user.email=a@b", "commit", "-q", "--allow-empty", "-m", "x"]):
+        subprocess.run(["git", *args], check=True)
+    rows = [(str(source), None, "o", "good"), (str(source), "missing", "o", "bad"), ("--upload-pack=x", None, "o", "option"), (str(source), None, "..", "out")]
+    df = spark.createDataFrame(rows, "git_url string, rev string, maintainer string, name string").coalesce(1)
+    got = {r["name"]: r["status"] for r in files.cloned(df, str(tmp_path / "to"), retries=1, pause=0.0).collect()}
+    assert got == {"good": "Done", "bad": "Error", "option": "Error", "out": "Error"} and (tmp_path / "to/o/good/.git").is_dir()
+
+
+def test_kappa_near_certainty(spark):
+    df = spark.createDataFrame([("x", "x")] * 5, "a string, b string")
+    assert metrics.kappa(df, "a", "b").first()["kappa"] is None
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), ("a", 3)], "k string, v int")
+    assert sorted(r["v"] for r in curate.large_groups(df, ["k"], 2).collect()) == [2, 3]
