@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.plans.storage import ship
+
 #: ASCII white space: what separates words.
 SPACES = r"[ \t-\r]+"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -41,15 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """df.mapInArrow(run, schema), where workers can import this package even if it isn't installed there."""
-    sc = df.sparkSession.sparkContext
-    if not getattr(sc, "_quarrymill_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        with tempfile.NamedTemporaryFile(prefix="quarrymill-", suffix=".zip", delete=False) as f, zipfile.ZipFile(f, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        sc.addPyFile(f.name)  # the driver serves it to the executors
-        atexit.register(lambda: Path(f.name).unlink(missing_ok=True))
-        sc._quarrymill_shipped = True
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
