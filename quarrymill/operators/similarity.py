@@ -110,7 +110,7 @@ def query_index(queries: DataFrame, index: DataFrame, measure: str = "jaccard",
     index = cut(index)
     frequency = index.select(F.explode("set").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df"))
     # One order for both sides: the index is ordered by its own frequencies, which are the ones used here.
-    found = _matches(ordered(queries, frequency), index, measure, threshold, None)
+    found = _matches(cut(ordered(queries, frequency)), index, measure, threshold, None)
     return found.select(F.col("a").alias("query_id"), F.col("b").alias("match_id"), "similarity")
 
 

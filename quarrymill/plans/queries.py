@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
 from quarrymill.operators import curate, dedup, graph, metrics, prompts, render, similarity
-from quarrymill.plans.storage import ship
+from quarrymill.plans.storage import cut, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,8 +225,8 @@ def graph_check(spark, sf_dir):
 
 def severity_rollup(spark, sf_dir):
     rows = graph.checked(graphs(spark, sf_dir))
-    rows = rows.withColumn("text", render.rendered(F.col("graph_clean")))
-    parts = [metrics.defects(rows, "messages", F.col("text").isNull(), F.size("graph_clean.nodes"), how, average).select(F.lit(f"{how} {average}").alias("kind"), "*") for how, average in (("last", None), ("unique", None), ("last", "micro"), ("last", "macro"))]
+    rows = cut(rows.select("messages", render.rendered(F.col("graph_clean")).alias("text"), "graph_clean.nodes"))
+    parts = [metrics.defects(rows, "messages", F.col("text").isNull(), F.size("nodes"), how, average).select(F.lit(f"{how} {average}").alias("kind"), "*") for how, average in (("last", None), ("unique", None), ("last", "micro"), ("last", "macro"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
