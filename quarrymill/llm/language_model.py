@@ -37,7 +37,7 @@ SEED = 42
 #: The least count held of each order.
 LEAST = {1: 1, 2: 2}
 PROBES = 20
-CHUNK = 1_200_000
+CHUNK = 800_000
 BLOCK_BYTES = 6_000_000
 SEEN = 0.6
 ADD = 0.1
