@@ -151,7 +151,8 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     home = anchored(prints, 0).select("anchor", F.col("fp").alias("a"))
     visitors = anchored(prints, threshold).select("anchor", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(visitors, (home["anchor"] == visitors["anchor"]) & near).select("a", "b")
+    # Both sides are estimated alike, from the size of prints, though a fingerprint has some 62 rows among the visitors: they are not to be broadcast.
+    return home.join(visitors.hint("merge"), (home["anchor"] == visitors["anchor"]) & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

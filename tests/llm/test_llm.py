@@ -253,6 +253,12 @@ def test_mixing(spark, docs, empty):
         assert out.columns == clash.columns and out.count() == keep(docs).count()
 
 
+def test_visitors_of_anchors_are_not_broadcast(spark):
+    prints = spark.createDataFrame([(i * i * 7919,) for i in range(50)], "fp bigint")
+    plan = simhash.links(common.stored(prints))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def brute_print(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
