@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrymill.llm.common import map_arrow, table
 
@@ -175,21 +176,28 @@ def _vocabulary(file: bytes, pattern: str) -> Vocabulary:
     return _built[key]
 
 
-def _mapped(df: DataFrame, source: str, out: str, schema: str, vocabulary: str, pattern: str, what: str) -> DataFrame:
-    """df with the column out, made from the column source by the vocabulary's method what. The file is read here and its bytes (under 1 MB for 50,000 tokens) are broadcast."""
+def _mapped(df: DataFrame, source: str, steps: dict[str, str], schema: str, vocabulary: str, pattern: str) -> DataFrame:
+    """The columns of df that schema has, and those of steps: out -> method of the vocabulary, the first from the column source, each other from the one before.
+
+    All steps run in one worker, which holds one vocabulary. The file is read here and its bytes (under 1 MB for
+    50,000 tokens) are broadcast.
+    """
     with open(vocabulary, "rb") as f:
         file = df.sparkSession.sparkContext.broadcast(f.read())
+    kept = [c for c in StructType.fromDDL(schema).names if c not in steps]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        method = getattr(_vocabulary(file.value, pattern), what)
+        words = _vocabulary(file.value, pattern)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                values = part.column(part.schema.get_field_index(source)).to_pylist()
-                made = pa.array([method(x) for x in values], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
+                values, made = part.column(part.schema.get_field_index(source)).to_pylist(), []
+                for what in steps.values():
+                    values = [*map(getattr(words, what), values)]
+                    made.append(pa.array(values, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *made], [*kept, *steps])
 
     return map_arrow(df, run, schema)
 
@@ -200,29 +208,39 @@ def _default(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
     return vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(doc_id, text), and the type of doc_id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows, rows.schema["doc_id"].dataType.simpleString()
+
+
+def _n_tokens():
+    return F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id (of the type it has), ids, n_tokens.
 
     A null text is empty; empty texts have no ids. Null and repeated doc_ids are kept as they are; other columns
     are ignored. Strings of special tokens are ordinary text. vocabulary is the path of a rank file on the driver.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    made = _mapped(rows, "text", "ids", f"doc_id {kind}, text string, ids binary", *_default(vocabulary, pattern), "encode")
-    return made.select("doc_id", "ids", F.floor(F.octet_length("ids") / 4).alias("n_tokens"))
+    rows, kind = _texts(docs, id_col, text_col)
+    made = _mapped(rows, "text", {"ids": "encode"}, f"doc_id {kind}, ids binary", *_default(vocabulary, pattern))
+    return made.select("doc_id", "ids", _n_tokens())
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """encoded (doc_id, ids and others) with decoded: the bytes that the ids stand for; null ids give no bytes."""
     rows = encoded.withColumn("ids", F.coalesce("ids", F.lit(b"")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return _mapped(rows, "ids", "decoded", f"{schema}, decoded binary", *_default(vocabulary, pattern), "decode")
+    return _mapped(rows, "ids", {"decoded": "decode"}, f"{schema}, decoded binary", *_default(vocabulary, pattern))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """encode() and decode() of docs, with SHA-256 of both results in place of the decoded bytes."""
-    done = decode(encode(docs))
-    return done.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """encode() and decode() of docs in one pass, with SHA-256 of both results in place of the decoded bytes."""
+    rows, kind = _texts(docs, "doc_id", "text")
+    done = _mapped(rows, "text", {"ids": "encode", "decoded": "decode"}, f"doc_id {kind}, ids binary, decoded binary", *_default(None, None))
+    return done.select("doc_id", _n_tokens(), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarrymill.llm import bpe, common, components, exact_dedup, language_model, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from quarrymill.llm import bpe, common, components, exact_dedup, language_model, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, simhash, toxicity, url_filter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, key string, body string, size bigint, n_words bigint, label int, row string, fp string, line string, chunk int"
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "the", "of", "and"]
@@ -607,6 +607,19 @@ def test_bpe(spark, docs, empty):
     assert got == ordered(rows) and bpe.digests(empty).count() == 0
 
 
+def test_bpe_round_trip_takes_one_worker(docs):
+    assert bpe.digests(docs)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both = bpe.decode(bpe.encode(docs)).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    assert ordered(bpe.digests(docs).collect()) == ordered(both.collect())
+
+
+def test_near_stage_broadcasts_no_visitors(spark, docs, monkeypatch):
+    plans, connected = [], near_dedup.connected
+    monkeypatch.setattr(near_dedup, "connected", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or connected(edges))
+    corpus_pipeline.near(spark, docs, "")
+    assert "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_exact_dedup(spark, docs, empty):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
