@@ -77,7 +77,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("line_no"), F.xxhash64(text).alias("line_id"), F.xxhash64(F.lit(1), text).alias("proof"), text.alias("line"))
-    rows, signed, each = told_apart(rows, _signed, F.min("doc_id").alias("first"), F.first("fp").alias("fp"))
+    rows, each = told_apart(rows, _signed, F.min("doc_id").alias("first"), F.first("fp").alias("fp"))
     chains = connected(simhash.links(each.select("fp").distinct(), BITS)).select(F.col("node").alias("fp"), "root")
     groups = each.select("fp", "line_id").join(chains, "fp", "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("bucket"), "line_id")
     members = stored(candidates(each, groups))
@@ -87,5 +87,5 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("class")), "root").select("line_id", "class")
     classes = stored(each.join(named, "line_id", "left").select("line_id", F.coalesce("class", "first").alias("class")))
     gone = fresh(docs, "gone")
-    out = signed.join(classes, "line_id").where("doc_id <> class").select(F.col("doc_id").alias(gone)).distinct()
+    out = rows.join(classes, "line_id").where("doc_id <> class").select(F.col("doc_id").alias(gone)).distinct()
     return docs.join(out, docs[id_col] == out[gone], "left_anti")

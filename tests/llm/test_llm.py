@@ -160,6 +160,43 @@ def test_line_dedup(spark, docs, empty, case, monkeypatch):
     assert awkward.columns == docs.columns and awkward.count() > 0
 
 
+@pytest.mark.parametrize("table", [False, True])
+def test_large_buckets(table, monkeypatch):
+    """Groups are those of brute force; by the table, large buckets take no comparison of two lines alone."""
+    alone, jaccard = [], line_dedup.Bucket._jaccard
+    monkeypatch.setattr(line_dedup.Bucket, "_jaccard", staticmethod(lambda a, b: alone.append(1) or jaccard(a, b)))
+    if not table:
+        monkeypatch.setattr(line_dedup, "TABLE", 900)
+    rng = random.Random(3)
+    for n, families, edits in ((1, 1, 0), (7, 2, 3), (60, 1, 14), (60, 3, 9), (60, 60, 0), (150, 2, 12)):
+        bases = [rng.sample(range(10_000), 80) for _ in range(families)]
+        sets = [np.array(sorted({x if rng.random() > edits / 80 else rng.randrange(10_000) for x in bases[i % families]} | set(range(rng.randrange(9)))), np.uint64) for i in range(n)]
+        group = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    group = [group[j] if g == group[i] else g for g in group]
+        share, found = line_dedup.Share(0.8), []
+        for i, x in enumerate(sets):
+            found += share.add(1000 + i, x)
+        found += share.done(5, 1000)
+        own = list(range(n))
+        for a, b, _ in (x for x in found if x[1] is not None):
+            own = [own[b - 1000] if g == own[a - 1000] else g for g in own]
+        assert len(set(zip(own, group))) == len(set(own)) == len(set(group)) == n - sum(b is not None for _, b, _ in found)
+        assert {(a, k) for a, b, k in found if b is None} == {(1000 + i, 5) for i in range(n) if group[i] != group[0]}
+    assert table == (len(alone) < 30)
+
+
+def test_lines_are_not_stored(spark, monkeypatch):
+    """What is stored has a row for each different line at most, not one for each line."""
+    sizes, stored = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df: sizes.append((out := stored(df)).count()) or out)
+    rows = spark.createDataFrame([(i, "one line that all have\nand another") for i in range(50)], "doc_id bigint, text string")
+    assert line_dedup.line_classes(rows).where("kept").count() == 2 and max(sizes) == 2
+
+
 @pytest.mark.parametrize("deal", [2, 3, 7, 50])
 def test_dealer(deal, monkeypatch):
     monkeypatch.setattr(line_dedup, "DEAL", deal)
