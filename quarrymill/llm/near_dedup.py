@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm import simhash
-from quarrymill.llm.common import fresh, map_arrow, stored
+from quarrymill.llm.common import fresh, map_arrow, released, stored
 from quarrymill.llm.components import connected
 from quarrymill.llm.line_dedup import SIMILARITY, banded, candidates, told_apart, verified
 
@@ -81,6 +81,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     chains = connected(simhash.links(each.select("fp").distinct(), BITS)).select(F.col("node").alias("fp"), "root")
     groups = each.select("fp", "line_id").join(chains, "fp", "left").select(F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("bucket"), "line_id")
     members = stored(candidates(each, groups))
+    released(docs.sparkSession)
     texts = rows.groupBy("line_id").agg(F.first("line").alias("line")).join(members.select("line_id").distinct(), "line_id", "left_semi")
     roots = connected(verified(members, texts, similarity, shingle_sets))
     linked = each.join(roots, each["line_id"] == roots["node"]).select("line_id", "root", "first")
