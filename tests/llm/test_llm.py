@@ -61,6 +61,18 @@ def test_common(spark, empty):
     assert sorted(r[0] for r in df.collect()) == [0, 1, 2] and common.stored(empty).count() == 0
 
 
+def test_released(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for b in manager.getAllBlocks().mkString("\n").split("\n") if (n := str(b)).startswith("shuffle")}
+    common.released(spark)
+    before = shuffled()
+    first = common.stored(spark.range(20_000).repartition(4, "id"))
+    common.stored(first.join(first.groupBy((F.col("id") % 99).alias("id")).count(), "id", "left_semi"))
+    assert shuffled() - before
+    common.released(spark)
+    assert not shuffled() - before
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5, 5)]
