@@ -201,6 +201,68 @@ def test_large_buckets(table, monkeypatch):
     assert table == (len(alone) < 30)
 
 
+def test_buckets_of_some_lines_take_no_probes(monkeypatch):
+    """One matrix product tells all pairs of a bucket of some lines: the groups of brute force, and links that are a forest."""
+    monkeypatch.delattr(line_dedup, "linked")
+    rng = random.Random(8)
+    for n, families, edits in ((2, 1, 0), (2, 2, 0), (7, 2, 4), (12, 1, 14), (30, 3, 9), (40, 40, 0), (64, 2, 12)):
+        bases = [rng.sample(range(10_000), 80) for _ in range(families)]
+        sets = [np.array(sorted({x if rng.random() > edits / 80 else rng.randrange(10_000) for x in bases[i % families]} | set(range(rng.randrange(9)))), np.uint64) for i in range(n)]
+        group = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    group = [group[j] if g == group[i] else g for g in group]
+        for pivot in (None, 1001):
+            share, found = line_dedup.Share(0.8), []
+            for i, x in enumerate(sets):
+                found += share.add(1000 + i, x)
+            found += share.done(5, pivot)
+            own = list(range(n))
+            for a, b, _ in (x for x in found if x[1] is not None):
+                own = [own[b - 1000] if g == own[a - 1000] else g for g in own]
+            assert len(set(zip(own, group))) == len(set(own)) == len(set(group)) == n - sum(b is not None for _, b, _ in found)
+            assert {(a, k) for a, b, k in found if b is None} == {(1000 + i, 5) for i in range(n) if pivot and group[i] != group[1]}
+
+
+def test_shingle_sets_of_many_lines():
+    rng = random.Random(5)
+    lines = [prose(rng, rng.randint(1, 6))[: rng.randint(1, 30)].strip() or "q" for _ in range(1300)]
+    got = line_dedup.shingle_sets(lines)
+    assert len(got) == len(lines) and line_dedup.shingle_sets([]) == []
+    for line, x in zip(lines, got, strict=True):
+        assert (x[1:] > x[:-1]).all() and len(x) == len({line[i : i + 6] for i in range(max(1, len(line) - 5))})
+        assert np.array_equal(x, line_dedup.shingle_sets([line])[0])
+
+
+def test_empty_bins_borrow():
+    """A signature is that of plain loops over bins."""
+    rng = random.Random(6)
+    lines = ["ab", "a line", "a short line"] + [prose(rng, rng.randint(2, 30)) for _ in range(20)]
+    bins = line_dedup.BANDS * line_dedup.ROWS_OF_BAND
+    donors = np.random.default_rng(11).permuted(np.tile(np.arange(bins), (bins, 1)), axis=1)
+    for line, row in zip(lines, line_dedup.bands(lines), strict=True):
+        least = [None] * bins
+        for h in line_dedup.shingle_hashes([line])[0].tolist():
+            at, value = (h >> 32) * bins >> 32, h & 0x7FFFFFFF
+            least[at] = value if least[at] is None else min(least[at], value)
+        least = [next(least[d] for d in [i, *donors[i]] if least[d] is not None) for i in range(bins)]
+        out = np.zeros(line_dedup.BANDS, np.uint64)
+        for r in range(line_dedup.ROWS_OF_BAND):
+            out = common.mixed(out + np.array(least[r :: line_dedup.ROWS_OF_BAND], np.uint64) + np.uint64(r + 1))
+        assert row.tobytes() == out.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : line_dedup.BAND_BYTES].tobytes()
+
+
+def test_lines_are_trimmed_where_they_need_it(spark):
+    ends = ["", " ", "\t", "\v", "\f", "\r", " \t\r", "\u00a0", "\u2003"]
+    text = "\n".join([a + x + b for x in ("a", "a b", "\u00e9 \t z", "\U0001f600") for a in ends for b in ends] + ["", " ", "\r", " \v "])
+    lines = line_dedup.lines_of(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string"))
+    want = [(n, x.strip(line_dedup.SPACE)) for n, x in enumerate(text.split("\n"))]
+    assert sorted((r["line_no"], r["line"]) for r in lines.collect()) == [x for x in want if x[1]]
+    assert "CASE WHEN" in lines._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lines_are_not_stored(spark, monkeypatch):
     """What is stored has a row for each different line at most, not one for each line."""
     sizes, stored = [], line_dedup.stored
