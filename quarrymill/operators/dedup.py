@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.operators.similarity import all_pairs, membership
+from quarrymill.operators.similarity import document_pairs, grouped
 from quarrymill.plans.storage import cut
 
 
@@ -31,9 +31,8 @@ def removed(pairs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.9) -> DataFrame:
     """docs without near-duplicates of documents before them. Documents without tokens stay; of equal bags the smallest id stands for all."""
-    groups = cut(membership(docs, id_col, text_col))
-    reps = groups.where("id = rep").select("id", "bag").dropDuplicates(["id"])
-    pairs = all_pairs(reps, "jaccard", threshold)
+    groups = grouped(docs, id_col, text_col)
+    pairs = document_pairs(docs, id_col, text_col, "jaccard", threshold, groups)
     gone = removed(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).select(F.col("id").alias("__rep"))
     copies = groups.where("id <> rep").select(F.col("id").alias("__gone"))
     return docs.join(copies.union(gone), docs[id_col] == F.col("__gone"), "left_anti")

@@ -108,6 +108,30 @@ def test_worked_example(spark):
     assert value("containment") == {(1, 2): 0.5, (2, 1): pytest.approx(2 / 3)}
 
 
+def test_similarity_moves_no_sets(spark, monkeypatch):
+    """Sets are stored once, and no shuffle carries them or candidates; small blocks and chunks give the same pairs."""
+    rng = random.Random(8)
+    near = [" ".join(sorted(rng.sample([f"w{k}" for k in range(200)], 190))) for _ in range(30)]
+    docs = spark.createDataFrame([*enumerate([*near, *near[:5], "w1", "w1 W2", "\u0130x \u212a", "i x k", "a" * 150, "a" * 151, "", None])], "id bigint, text string").repartition(3)
+    reps = similarity.representatives(docs, "id", "text")
+    bags = {r["id"]: Counter(r["bag"]) for r in reps.collect()}
+    for name, value in (("LEAST", 400), ("MOST", 500), ("AT_ONCE", 64), ("RUN", 2)):
+        monkeypatch.setattr(similarity, name, value)
+    plans = []
+    monkeypatch.setattr(similarity, "cut", lambda df, cut=similarity.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    for measure, score in (("jaccard", lambda o, a, b: o / (a + b - o)), ("containment", lambda o, a, b: o / a)):
+        want = {}
+        for i, x in bags.items():
+            for j, y in bags.items():
+                s = score(sum((x & y).values()), sum(x.values()), sum(y.values()))
+                if (i > j or measure == "containment" and i != j) and s >= 0.9 * (1 - 1e-9):
+                    want[i, j] = s
+        assert len(want) > 20
+        got = similarity.document_pairs(docs, "id", "text", measure, 0.9).collect()
+        assert {(r[0], r[1]): r[2] for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert sum("CartesianProduct" in p for p in plans) == 2
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "")], "id bigint, text string")
     similarity.save_index(similarity.build_index(similarity.representatives(docs, "id", "text")), f"{tmp_path}/i")
