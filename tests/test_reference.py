@@ -132,6 +132,18 @@ def test_similarity_moves_no_sets(spark, monkeypatch):
     assert sum("CartesianProduct" in p for p in plans) == 2
 
 
+@pytest.mark.parametrize("measure", ["cosine", "containment"])
+def test_similarity_links_members(spark, tmp_path, measure):
+    """No link between different texts is lost: those with equal bags are linked to their representative."""
+    from quarrymill.plans import registry
+
+    docs = [(1, "a b c"), (2, "C, b a"), (3, "c b; a"), (4, "x"), (5, ""), (6, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    links = {tuple(r) for r in registry.QUERIES[f"sim_{measure}"](spark, str(tmp_path)).collect()}
+    back = {(1, 2, 1.0), (1, 3, 1.0)} if measure == "containment" else set()
+    assert links == {(2, 1, 1.0), (3, 1, 1.0)} | back
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "")], "id bigint, text string")
     similarity.save_index(similarity.build_index(similarity.representatives(docs, "id", "text")), f"{tmp_path}/i")
