@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 from ast import literal_eval
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,15 +169,66 @@ def reconvergent(children: dict[str, list[str]]) -> list[str]:
     return found
 
 
-@F.pandas_udf(T.StructType([T.StructField("recursive", T.IntegerType()), T.StructField("components", T.IntegerType())]))
-def _walked(nodes: pd.Series, edges: pd.Series, packages: pd.Series) -> pd.DataFrame:
-    def one(ns, es, ps) -> tuple[int, int]:
-        ids = [n["node_id"] for n in ns if n["node_id"] is not None] if ns is not None else []
-        pairs = [(e["node_id_from"], e["node_id_to"]) for e in es] if es is not None else []
-        down = {p["package_id"]: list(p["children"]) for p in ps if p["package_id"] is not None} if ps is not None else {}
-        return len(reconvergent(down)), components(ids, pairs)
+def _rows_of(lists: pa.Array) -> np.ndarray:
+    """The row of each value of a column of lists."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
 
-    return pd.DataFrame([one(*x) for x in zip(nodes, edges, packages, strict=True)], columns=["recursive", "components"])
+
+def _coded(*columns: pa.Array) -> tuple[list[np.ndarray], int]:
+    """Values of columns as numbers, the same for all of them, and the number that null has, the largest."""
+    words = pa.chunked_array(columns, pa.string()).combine_chunks()
+    words = (pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
+    none = len(words.dictionary)
+    codes = words.indices.fill_null(none).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.split(codes, np.cumsum([len(c) for c in columns])[:-1]), none
+
+
+def _component_counts(ids: pa.Array, froms: pa.Array, tos: pa.Array) -> np.ndarray:
+    """components() of each row, of all rows at once: labels go to the smaller end of each edge, then to their label's label."""
+    (node, a, b), none = _coded(ids.flatten(), froms.flatten(), tos.flatten())
+    own, at, to = _rows_of(ids)[node < none] * (none + 1), _rows_of(froms) * (none + 1), _rows_of(tos) * (none + 1)
+    every, where = np.unique(np.concatenate([own + node[node < none], at + a, to + b]), return_inverse=True)
+    a, b = where[len(own) : len(own) + len(a)], where[len(own) + len(a) :]
+    label = np.arange(len(every))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label != (label := label[label])).any():
+            pass
+    return np.bincount(every[label == np.arange(len(label))] // (none + 1), minlength=len(ids))
+
+
+def _reconvergent_counts(pids: pa.Array, children: pa.Array) -> np.ndarray:
+    """How many packages of each row reconvergent() finds; it walks only where two packages or more lie in packages, or one in itself."""
+    lists = children.flatten()
+    row = _rows_of(children)
+    (own, child), none = _coded(pids.flatten(), lists.flatten())
+    holder = _rows_of(lists)
+    inner = np.isin(row[holder] * (none + 1) + child, (_rows_of(pids) * (none + 1) + own)[own < none])
+    few = np.bincount(row[holder][inner], minlength=len(pids)) < 2
+    few[row[holder][inner & (own[holder] == child)]] = False
+    found = np.zeros(len(pids), np.int64)
+    for k in np.flatnonzero(~few):
+        found[k] = len(reconvergent({p: c or [] for p, c in zip(pids[int(k)].as_py(), children[int(k)].as_py(), strict=True) if p is not None}))
+    return found
+
+
+@F.arrow_udf(T.StructType([T.StructField("recursive", T.IntegerType()), T.StructField("components", T.IntegerType())]))
+def _walked(ids: pa.Array, froms: pa.Array, tos: pa.Array, pids: pa.Array, children: pa.Array) -> pa.Array:
+    counts = _reconvergent_counts(pids, children), _component_counts(ids, froms, tos)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in counts], names=["recursive", "components"])
+
+
+@F.arrow_udf(T.LongType())
+def _counted(ids: pa.Array, froms: pa.Array, tos: pa.Array) -> pa.Array:
+    return pa.array(_component_counts(ids, froms, tos), pa.int64())
+
+
+def n_components(graph: Column) -> Column:
+    """How many weakly connected components a graph has, isolated nodes among them; null for a null graph."""
+    return F.when(graph.isNotNull(), _counted(graph["nodes"]["node_id"], graph["edges"]["node_id_from"], graph["edges"]["node_id_to"]))
 
 
 def checked(df: DataFrame, graph: str = "graph", code: str = "code", warnings: bool = False) -> DataFrame:
@@ -187,7 +240,7 @@ def checked(df: DataFrame, graph: str = "graph", code: str = "code", warnings: b
     linked = lambda a, b: F.exists(edges, lambda e: (e["node_id_from"] == a) & (e["node_id_to"] == b))
     pair = lambda e: F.concat(e["node_id_from"], F.lit("\x00"), e["node_id_to"])
     count = lambda items, test: F.size(F.filter(items, test))
-    rows = rows.withColumns({"__pairs": F.transform(edges, pair), "__all": F.flatten(F.transform(packages, lambda p: p["children"])), "__walk": _walked.asNondeterministic()(nodes, edges, packages)})  # so that filters on messages stay above it
+    rows = rows.withColumns({"__pairs": F.transform(edges, pair), "__all": F.flatten(F.transform(packages, lambda p: p["children"])), "__walk": _walked.asNondeterministic()(nodes["node_id"], edges["node_id_from"], edges["node_id_to"], packages["package_id"], packages["children"])})  # so that filters on messages stay above it
     again = F.filter(edges, lambda e, i: F.array_position("__pairs", pair(e)) <= i)
     holders = lambda x: F.flatten(F.transform(packages, lambda p: F.transform(F.filter(p["children"], lambda c: c == x), lambda c: p["package_id"])))
     inside = lambda pid, x: F.array_contains(F.element_at(F.filter(packages, lambda p: p["package_id"] == pid), -1)["children"], x)

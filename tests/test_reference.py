@@ -144,6 +144,26 @@ def test_similarity_links_members(spark, tmp_path, measure):
     assert links == {(2, 1, 1.0), (3, 1, 1.0)} | back
 
 
+def test_walks_of_many_graphs(spark):
+    """Components and recursion of many graphs at once are those of each alone, without a shuffle or a stored round."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(120):
+        ids = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 8))] + [None] * (k % 11 == 0)
+        edges = [(rng.choice("abcdefghi"), rng.choice([*"abcdefgh", None])) for _ in range(rng.randint(0, 5))]
+        packs = [(rng.choice("pqrs"), rng.choice([[], ["p", "q"], ["r", None], ["s", "a"], ["q", "q"]])) for _ in range(rng.randint(0, 4))]
+        rows.append((k, ids, edges, packs))
+    kind = "k int, ids array<string>, edges array<struct<a: string, b: string>>, packs array<struct<p: string, c: array<string>>>"
+    df = spark.createDataFrame([*rows, (999, None, None, None)], kind)
+    got = {r[0]: (r[1][0], r[1][1]) for r in df.select("k", graph._walked("ids", "edges.a", "edges.b", "packs.p", "packs.c")).collect()}
+    want = {k: (len(graph.reconvergent(dict(packs))), graph.components([i for i in ids if i is not None], edges)) for k, ids, edges, packs in rows}
+    assert got == want | {999: (0, 0)} and len(set(want.values())) > 8
+    g = F.struct(F.transform("ids", lambda i: F.struct(i.alias("node_id"))).alias("nodes"), F.transform("edges", lambda e: F.struct(e["a"].alias("node_id_from"), e["b"].alias("node_id_to"))).alias("edges"))
+    counts = df.select("k", graph.n_components(g).alias("n"))
+    assert {r[0]: r[1] for r in counts.collect()} == {k: v[1] for k, v in got.items()}
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "")], "id bigint, text string")
     similarity.save_index(similarity.build_index(similarity.representatives(docs, "id", "text")), f"{tmp_path}/i")
