@@ -231,32 +231,50 @@ def n_components(graph: Column) -> Column:
     return F.when(graph.isNotNull(), _counted(graph["nodes"]["node_id"], graph["edges"]["node_id_from"], graph["edges"]["node_id_to"]))
 
 
-def checked(df: DataFrame, graph: str = "graph", code: str = "code", warnings: bool = False) -> DataFrame:
-    """df with <graph>_clean and messages: what is wrong with each graph, in a fixed order of rules. A null graph has none."""
+def checked(df: DataFrame, graph: str = "graph", code: str = "code", warnings: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """df with <graph>_clean and messages: what is wrong with each graph, in a fixed order of rules. A null graph has none. only: names of rules, of which alone messages are wanted."""
     rows = _parts(cleaned(df, graph), graph)
-    raw, g = F.col(graph), F.col(f"{graph}_clean")
-    nodes, edges, packages = g["nodes"], g["edges"], g["packages"]
+    g = F.col(f"{graph}_clean")
+    walk = _walked.asNondeterministic()(g["nodes"]["node_id"], g["edges"]["node_id_from"], g["edges"]["node_id_to"], g["packages"]["package_id"], g["packages"]["children"])  # so that filters on messages stay above it
+    all_of = F.flatten(F.transform(g["packages"], lambda p: p["children"]))
+    pairs = F.transform(g["edges"], _pair)
+    rows = rows.withColumns({"__walk": walk, "__pairs": pairs, "__all": all_of})
+    of = {"raw": F.col(graph), "clean": g, "ids": F.col("__ids"), "pids": F.col("__pids"), "pairs": F.col("__pairs"), "all": F.col("__all"), "walk": F.col("__walk"), "code": F.col(code)}
+    # Bound to a variable, so that no rule works the parts out again for each element that it looks at.
+    found = F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in of.items()])), lambda x: _messages(x, warnings, only)), F.lit(0))
+    messages = F.when(F.col(graph).isNull(), F.array().cast(MESSAGES)).otherwise(found)
+    return rows.withColumn("messages", messages).drop("__ids", "__pids", "__pairs", "__all", "__walk")
+
+
+def _pair(e: Column) -> Column:
+    return F.concat(e["node_id_from"], F.lit("\x00"), e["node_id_to"])
+
+
+def _messages(x: Column, warnings: bool, only: tuple[str, ...] | None) -> Column:
+    """Messages on x: raw and clean graph, ids, pids, pairs of edges, children of all packages, walk, code."""
+    raw, nodes, edges, packages = x["raw"], x["clean"]["nodes"], x["clean"]["edges"], x["clean"]["packages"]
     members = F.filter(nodes, lambda n: n["type"].isin(*MEMBERS))
     linked = lambda a, b: F.exists(edges, lambda e: (e["node_id_from"] == a) & (e["node_id_to"] == b))
-    pair = lambda e: F.concat(e["node_id_from"], F.lit("\x00"), e["node_id_to"])
     count = lambda items, test: F.size(F.filter(items, test))
-    rows = rows.withColumns({"__pairs": F.transform(edges, pair), "__all": F.flatten(F.transform(packages, lambda p: p["children"])), "__walk": _walked.asNondeterministic()(nodes["node_id"], edges["node_id_from"], edges["node_id_to"], packages["package_id"], packages["children"])})  # so that filters on messages stay above it
-    again = F.filter(edges, lambda e, i: F.array_position("__pairs", pair(e)) <= i)
-    holders = lambda x: F.flatten(F.transform(packages, lambda p: F.transform(F.filter(p["children"], lambda c: c == x), lambda c: p["package_id"])))
-    inside = lambda pid, x: F.array_contains(F.element_at(F.filter(packages, lambda p: p["package_id"] == pid), -1)["children"], x)
+    again = F.filter(edges, lambda e, i: F.array_position(x["pairs"], _pair(e)) <= i)
+    holders = lambda i: F.flatten(F.transform(packages, lambda p: F.transform(F.filter(p["children"], lambda c: c == i), lambda c: p["package_id"])))
+    inside = lambda pid, i: F.array_contains(F.element_at(F.filter(packages, lambda p: p["package_id"] == pid), -1)["children"], i)
 
     def strays(n: Column) -> Column:
-        of_class, own = holders(n["source_class_id"]), holders(n["node_id"])
-        elsewhere = (F.size(own) == 1) & (F.get(of_class, F.lit(0)) != F.get(own, F.lit(0))) & ~inside(F.get(of_class, F.lit(0)), F.get(own, F.lit(0)))
-        return (F.size(of_class) == 1) & ((F.size(own) == 0) | elsewhere)
+        def apart(h: Column) -> Column:
+            of_class, own = h["of_class"], h["own"]
+            elsewhere = (F.size(own) == 1) & (F.get(of_class, F.lit(0)) != F.get(own, F.lit(0))) & ~inside(F.get(of_class, F.lit(0)), F.get(own, F.lit(0)))
+            return (F.size(of_class) == 1) & ((F.size(own) == 0) | elsewhere)
+
+        return F.exists(F.array(F.struct(holders(n["source_class_id"]).alias("of_class"), holders(n["node_id"]).alias("own"))), apart)  # so that each is looked for once
 
     one = lambda test: F.when(test, 1).otherwise(0)
     # (rule, what it says, severity, number, only with warnings)
     rules = [
-        ("R1", "node ids with spaces", "Low", count(F.col("__ids"), lambda x: x.contains(" ")), False),
-        ("R2", "package ids with spaces", "Low", count(F.col("__pids"), lambda x: x.contains(" ")), False),
-        ("R3", "node ids that are not unique", "Medium", F.size(raw["nodes"]) - F.size("__ids"), False),
-        ("R4", "package ids that are not unique or are nodes", "Medium", F.size(raw["packages"]) - F.size("__pids"), False),
+        ("R1", "node ids with spaces", "Low", count(x["ids"], lambda i: i.contains(" ")), False),
+        ("R2", "package ids with spaces", "Low", count(x["pids"], lambda i: i.contains(" ")), False),
+        ("R3", "node ids that are not unique", "Medium", F.size(raw["nodes"]) - F.size(x["ids"]), False),
+        ("R4", "package ids that are not unique or are nodes", "Medium", F.size(raw["packages"]) - F.size(x["pids"]), False),
         ("R5", "edges without both nodes", "Medium", F.size(raw["edges"]) - F.size(edges), False),
         ("R6", "a single node", "Low", one(F.size(nodes) == 1), False),
         ("R7", "three nodes or fewer", "Low", one(F.size(nodes) <= 3), True),
@@ -271,22 +289,20 @@ def checked(df: DataFrame, graph: str = "graph", code: str = "code", warnings: b
         ("R16", "node ids that start with another sign", "Low", count(nodes, lambda n: n["node_id"].rlike("^[^a-zA-Z0-9_]")), False),
         ("R17", "package ids that start with another sign", "Low", count(packages, lambda p: p["package_id"].rlike(r"^[^a-zA-Z0-9_():\\/ ]")), False),
         ("R18", "ids that are not the names", "Low", count(nodes, lambda n: n["node_id"] != n["name"]), True),
-        ("R19", "names that are not in the code", "Low", count(nodes, lambda n: (n["type"] != "entity") & ~F.contains(F.col(code), n["name"])), False),
+        ("R19", "names that are not in the code", "Low", count(nodes, lambda n: (n["type"] != "entity") & ~F.contains(x["code"], n["name"])), False),
         ("R20", "packages with one child", "Low", count(packages, lambda p: F.size(p["children"]) == 1), False),
         ("R21", "packages without children", "Medium", count(packages, lambda p: F.size(p["children"]) == 0), False),
-        ("R22", "children of several packages", "Low", count(F.array_distinct("__all"), lambda c: count(F.col("__all"), lambda x: x == c) > 1), False),
+        ("R22", "children of several packages", "Low", count(F.array_distinct(x["all"]), lambda c: count(x["all"], lambda o: o == c) > 1), False),
         ("R22w", "more packages than nodes", "Low", F.greatest(F.size(packages) - F.size(nodes), F.lit(0)), True),
         ("R22m", "members outside the package of their class", "Low", count(members, strays), False),
-        ("R23", "packages with recursion", "Medium", F.col("__walk")["recursive"], False),
-        ("R24", "several components", "Medium", one(F.col("__walk")["components"] > 1), False),
+        ("R23", "packages with recursion", "Medium", x["walk"]["recursive"], False),
+        ("R24", "several components", "Medium", one(x["walk"]["components"] > 1), False),
     ]
-    found = [
-        F.when(number > 0, F.struct(F.lit(rule).alias("rule"), F.lit(text).alias("description"), F.lit(severity).alias("severity"), number.cast("int").alias("number")))
-        for rule, text, severity, number, warning in rules
-        if warnings or not warning
-    ]
-    messages = F.when(raw.isNull(), F.array().cast(MESSAGES)).otherwise(F.array_compact(F.array(*found)))
-    return rows.withColumn("messages", messages).drop("__ids", "__pids", "__pairs", "__all", "__walk")
+    said = [(rule, text, severity, number) for rule, text, severity, number, warning in rules if (warnings or not warning if only is None else rule in only)]
+    texts = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(("rule", "description", "severity"), x, strict=False)]) for x in said])
+    # Each number is worked out once and then looked at.
+    each = F.transform(F.array(*[x[-1].cast("int") for x in said]), lambda n, i: F.struct(*[F.get(texts, i)[f].alias(f) for f in ("rule", "description", "severity")], n.alias("number")))
+    return F.filter(each, lambda m: m["number"] > 0)
 
 
 def from_text(df: DataFrame, text: str, code: str = "code", dialect: str = "plantuml", outside_members: bool = True, hide_empty_members: bool = True, literal: bool = True) -> DataFrame:

@@ -132,6 +132,18 @@ def severities(messages: Column, failed: Column, how: str = "last") -> list[Colu
     return [*out, failed.cast("double").alias("High")]
 
 
+def defect_kinds(graphs: DataFrame, messages: str, failed: Column, n_nodes: Column, kinds: list[tuple[str, str | None]]) -> DataFrame:
+    """defects() for each (how, average), with the column kind, from one pass over graphs."""
+    hows = list(dict.fromkeys(how for how, _ in kinds))
+    levels = ("Low", "Medium", "High")
+    rows = graphs.select(n_nodes.alias("__n"), *[c.alias(f"{how} {level}") for how in hows for level, c in zip(levels, severities(F.col(messages), failed, how), strict=True)])
+    mean = lambda how, average, level: F.avg(F.try_divide(F.col(f"{how} {level}"), F.col("__n")) if average == "macro" else F.col(f"{how} {level}"))
+    sums = rows.agg(F.avg("__n").alias("__n"), *[mean(how, average, level).alias(f"{how} {average} {level}") for how, average in kinds for level in levels])
+    of = lambda how, average, level: F.try_divide(F.col(f"{how} {average} {level}"), F.col("__n")) if average == "micro" else F.col(f"{how} {average} {level}")
+    each = [F.struct(F.lit(f"{how} {average}").alias("kind"), *[of(how, average, level).alias(level) for level in levels]) for how, average in kinds]
+    return sums.select(F.inline(F.array(*each)))
+
+
 def defects(graphs: DataFrame, messages: str, failed: Column, n_nodes: Column, how: str = "last", average: str | None = None) -> DataFrame:
     """One row: mean Low, Medium, High over graphs. average: "macro" divides each graph's by its nodes, "micro" the means by the mean number of nodes; graphs without nodes give null."""
     rows = graphs.select(*severities(F.col(messages), failed, how), n_nodes.alias("__n"))

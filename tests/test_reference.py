@@ -164,6 +164,25 @@ def test_walks_of_many_graphs(spark):
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
 
 
+def test_checked_once(spark, tmp_path):
+    """Messages are worked out once and graphs go over once: no filter repeats messages, no stored table stands between."""
+    from quarrymill.plans import queries
+
+    rows = [(k // 3, k % 5, k % 3, k % 3 + 1, float(k % 50), "AN"[k % 2], "OF"[k % 2]) for k in range(30)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = queries.graph_check(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_():") == 1
+    rollup = queries.severity_rollup(spark, str(tmp_path))
+    plan = rollup._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_():") == 1 and "LogicalRDD" not in plan
+    rows = graph.checked(queries.graphs(spark, str(tmp_path)))
+    for r in rollup.collect():
+        how, average = r["kind"].split()
+        one = metrics.defects(rows, "messages", F.lit(False), F.size("graph_clean.nodes"), how, None if average == "None" else average).first()
+        assert list(r[1:]) == pytest.approx(list(one), abs=1e-6)
+    assert "_():" not in queries.split_share(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "")], "id bigint, text string")
     similarity.save_index(similarity.build_index(similarity.representatives(docs, "id", "text")), f"{tmp_path}/i")
