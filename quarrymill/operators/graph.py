@@ -176,8 +176,8 @@ def _rows_of(lists: pa.Array) -> np.ndarray:
 
 def _coded(*columns: pa.Array) -> tuple[list[np.ndarray], int]:
     """Values of columns as numbers, the same for all of them, and the number that null has, the largest."""
-    words = pa.chunked_array(columns, pa.string()).combine_chunks()
-    words = (pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
+    some = [c for c in columns if len(c)]  # an empty column may come without offsets
+    words = (pa.concat_arrays(some) if some else pa.array([], pa.string())).dictionary_encode()
     none = len(words.dictionary)
     codes = words.indices.fill_null(none).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.split(codes, np.cumsum([len(c) for c in columns])[:-1]), none

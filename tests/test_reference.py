@@ -161,6 +161,8 @@ def test_walks_of_many_graphs(spark):
     g = F.struct(F.transform("ids", lambda i: F.struct(i.alias("node_id"))).alias("nodes"), F.transform("edges", lambda e: F.struct(e["a"].alias("node_id_from"), e["b"].alias("node_id_to"))).alias("edges"))
     counts = df.select("k", graph.n_components(g).alias("n"))
     assert {r[0]: r[1] for r in counts.collect()} == {k: v[1] for k, v in got.items()}
+    none = spark.createDataFrame([(1, ["a", "b"], [], [("p", [])])], kind)
+    assert [tuple(r[0]) for r in none.select(graph._walked("ids", "edges.a", "edges.b", "packs.p", "packs.c")).collect()] == [(0, 2)]
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
 
 
